@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -191,9 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3
     """Learns from at most ``sample`` labelled documents that aren't held out (those with the smallest id hashes).
 
     The character model counts their words' trigrams.  Features are the words and word beginnings of restored texts.
-    Sequential covering then picks the lexicon: ever the feature that occurs in most toxic documents not yet covered and
-    in no more than a twentieth as many clean ones, until none covers ``least``.  So words that merely stand beside a
-    toxic word, as in copies of one document, aren't learned.  Rows with a null id, label or text teach nothing.
+    Sequential covering (``cover``) then picks the lexicon among features that occur in ``least`` toxic documents and in
+    no more than a twentieth as many clean ones, so words that merely stand beside a toxic word in copies of one document
+    aren't learned.  Rows with a null id, label or text teach nothing.
     """
     spark = docs.sparkSession
     labels = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -246,24 +248,56 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3
     def toxic_features(batches):
         known: dict[str, str] = {}
         for batch in batches:
-            out = [[f for f in found if f in names] for _, found in of(batch, known)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["f"])
+            out, groups = [], []
+            for _, found in of(batch, known):
+                out.append([f for f in found if f in names])
+                groups.append(min((zlib.crc32(f.encode()) for f in found), default=0))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), pa.array(groups, pa.int64())], ["f", "g"])
 
-    cases = [set(r["f"]) for r in train.where("toxic = 1").mapInArrow(toxic_features, "f array<string>").toLocalIterator()]
+    rows = list(train.where("toxic = 1").mapInArrow(toxic_features, "f array<string>, g long").toLocalIterator())
+    lexicon = cover([set(r["f"]) for r in rows], [r["g"] for r in rows], seen, least)
+    bare = sum(not lexicon.keys() & set(r["f"]) for r in rows)
+    return ToxicityModel(chars, lexicon, (bare + 0.5) / (bare + size[1] + 10))
+
+
+def cover(cases: list[set[str]], groups: list[int], seen: dict[str, tuple[int, int]], least: int, times: int = 3, spread: int = 5) -> dict[str, float]:
+    """Sequential covering: feature -> precision, until no feature is worth adding.
+
+    A case (a toxic document's features) is covered after ``times`` features.  A feature needs ``least`` cases that
+    none covers yet, or cases of ``spread`` (and a hundredth as many as all) different groups; copies of a document share a group, a MinHash value.
+    """
+    need = [times] * len(cases)
+    where: dict[str, list[int]] = {}
+    for i, case in enumerate(cases):
+        for f in case:
+            where.setdefault(f, []).append(i)
+    gain = {f: len(at) for f, at in where.items()}
     lexicon: dict[str, float] = {}
-    left = Counter(f for case in cases for f in case)
-    while left:
-        # of equal covers, the feature seen in most toxic documents, then the more specific
-        best = max(left, key=lambda f: (left[f] - 20 * seen[f][1], seen[f][0], len(f), f))
-        if left[best] < least:
-            break
-        lexicon[best] = (seen[best][0] + 1) / (sum(seen[best]) + 2)
-        for case in cases:
-            if best in case:
-                left.subtract(case)
-        cases = [case for case in cases if best not in case]
-        left = +left
-    return ToxicityModel(chars, lexicon, (len(cases) + 0.5) / (len(cases) + size[1] + 10))
+
+    def rank(f):
+        # of equal gains, the feature seen in most toxic documents, then the more specific
+        return 20 * seen[f][1] - gain[f], -seen[f][0], -len(f), f
+
+    heap = [rank(f) for f in gain]
+    heapq.heapify(heap)
+    spread = max(spread, len(cases) // 100)
+    while heap:
+        top = heapq.heappop(heap)
+        best = top[-1]
+        if gain[best] < least or any(k.startswith(best.lstrip("=")) or best.lstrip("=").startswith(k) for k in (x.lstrip("=") for x in lexicon)):
+            continue
+        if rank(best) != top:  # gains only fall, so an outdated place is too early
+            heapq.heappush(heap, rank(best))
+            continue
+        at = [i for i in where[best] if need[i]]
+        if sum(need[i] == times for i in at) >= least or len({groups[i] for i in at}) >= spread:
+            lexicon[best] = (seen[best][0] + 1) / (sum(seen[best]) + 2)
+            for i in at:
+                need[i] -= 1
+                if not need[i]:
+                    for f in cases[i]:
+                        gain[f] -= 1
+    return lexicon
 
 
 SCORE = "doc_id long, score double, matched array<string>"
