@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parts, stored, text_buffer
+from ._common import parts, spans, stored, text_buffer
 
 BITS = 6
 #: Symbol of each byte: 0 text start, 1 white space and controls, 2 digits, 3-28 letters, 29-41 punctuation, 42-63 bytes over 127.
@@ -20,15 +20,17 @@ _SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum()]] = 41
 for _k, _c in enumerate(".,;:!?'\"-()/"):
     _SYMBOL[ord(_c)] = 29 + _k
 _SYMBOL[128:] = 42 + np.arange(128) % 22
-TOTAL = 4_000_000
+TOTAL = 2_000_000
 #: Entries of a batch's lookup table at most; a batch with more takes a binary search.
-DENSE = 50_000_000
+DENSE = 20_000_000
+#: Bytes of text worked on at once.
+CHUNK = 2 << 20
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """The gram that ends at each byte; before a text's start stand zeros."""
     sym = _SYMBOL[data]
-    pos = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    pos = np.arange(len(data), dtype=np.int64) - np.repeat(offsets[:-1], np.diff(offsets))
     g = sym.copy()
     for k in range(1, order):
         back = np.zeros(len(sym), np.uint32)
@@ -47,13 +49,14 @@ def _count(order: int):
 
         for batch in batches:
             data, offs = text_buffer(batch.column(0))
-            new, n = np.unique(_grams(data, offs, order), return_counts=True)
-            both, at = np.unique(np.concatenate([grams, new]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-            grams = both
-            if len(grams) > TOTAL:
-                yield rows()
-                grams, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            for i, j in spans(offs, CHUNK):
+                new, n = np.unique(_grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], order), return_counts=True)
+                both, at = np.unique(np.concatenate([grams, new]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+                grams = both
+                if len(grams) > TOTAL:
+                    yield rows()
+                    grams, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         yield rows()
 
     return run
@@ -62,8 +65,10 @@ def _count(order: int):
 def _explode(order: int):
     def run(key, table):
         data, offs = text_buffer(table["text"])
-        g = np.unique(_grams(data, offs, order)).astype(np.int64)
-        return pa.table({"batch": pa.array(np.full(len(g), key[0].as_py()), pa.int64()), "g": pa.array(g)})
+        g = np.zeros(0, np.uint32)
+        for i, j in spans(offs, CHUNK):
+            g = np.union1d(g, _grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], order))
+        return pa.table({"batch": pa.array(np.full(len(g), key[0].as_py()), pa.int64()), "g": pa.array(g.astype(np.int64))})
 
     return run
 
@@ -120,7 +125,7 @@ def ngram_tables(docs: DataFrame, order: int = 5, min_count: int = 2, backoff: f
     return out.select("g", "c", lp.alias("lp"))
 
 
-def score(docs: DataFrame, order: int = 5, min_count: int = 2, backoff: float = 0.4, batch_docs: int = 8192) -> DataFrame:
+def score(docs: DataFrame, order: int = 5, min_count: int = 2, backoff: float = 0.4, batch_docs: int = 4096) -> DataFrame:
     """doc_id, n_symbols, log_prob, mean_log_prob, perplexity for each row of ``docs`` (doc_id, text).
 
     A stupid-backoff language model over symbols (bytes in 64 classes; A-Z as a-z), order at most 5, learned from all of
