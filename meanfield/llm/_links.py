@@ -146,14 +146,18 @@ def _first_edges(limit: int):
     return run
 
 
-def _confirm(percent: int):
-    """Exact check of pairs of sets, each a run of rising 64-bit hashes."""
+def hash_runs(values: list[bytes]) -> list[np.ndarray]:
+    """Sets stored as runs of rising 64-bit hashes."""
+    return [np.frombuffer(x, np.uint64) for x in values]
+
+
+def _confirm(percent: int, expand):
+    """Exact check of pairs of sets."""
 
     def run(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for s, t in zip(expand(batch.column(2).to_pylist()), expand(batch.column(3).to_pylist()), strict=True):
                 if len(s) > len(t):
                     s, t = t, s
                 both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(t) else 0
@@ -184,7 +188,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(percent: int):
+def _block_links(percent: int, expand):
     """Links that join components, of every pair of blocks: exact similarities by sparse matrix products."""
 
     def run(batches):
@@ -195,7 +199,7 @@ def _block_links(percent: int):
             cut = (np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1).tolist()
             a, b = [], []
             for s, e in zip([0, *cut], [*cut, len(ids)], strict=True):
-                sets = [np.frombuffer(x, np.uint64) for x in raw[s:e]]
+                sets = expand(raw[s:e])
                 both = _common(sets).astype(np.int64)
                 size = np.array([len(x) for x in sets])
                 hit = 100 * both >= percent * (size[:, None] + size[None, :] - both)
@@ -219,11 +223,11 @@ def _block_links(percent: int):
     return run
 
 
-def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[DataFrame], DataFrame], block: int = 512) -> DataFrame:
+def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[DataFrame], DataFrame], expand: Callable[[list[bytes]], list[np.ndarray]] = hash_runs, block: int = 512) -> DataFrame:
     """(id, component) of the ids in components of two or more.
 
-    sigs: id long, bands array<long>, sketch binary; rows of one id are equal.  fetch: (id) -> (id, s), s the set's rising 64-bit hashes
-    as bytes.  Candidates share a band key and differ in at most ``limit`` sketch bits; a link has
+    sigs: id long, bands array<long>, sketch binary; rows of one id are equal.  fetch: (id) -> (id, s), s the set in a
+    form that ``expand`` turns into rising 64-bit hashes.  Candidates share a band key and differ in at most ``limit`` sketch bits; a link has
     100 * intersection >= percent * union of the full sets.
 
     1. Each key's candidates give a spanning forest, most similar first, whose edges are checked on full sets: a group
@@ -247,7 +251,7 @@ def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[
     need = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "links-need")
     sets = stored(fetch(need), "links-set")
     pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    checked = pairs.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long, ok boolean")
+    checked = pairs.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent, expand), "a long, b long, ok boolean")
     checked = stored(checked.groupBy("a", "b").agg(F.max("ok").alias("ok")), "links-checked")
     discard(sets)
     good = checked.where("ok").select("a", "b")
@@ -271,6 +275,6 @@ def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[
     rows = stored(rows, "links-blocks")
     sets = stored(fetch(rows.select("id").distinct()), "links-set")
     blocks = rows.join(sets, "id").select("key", "sub", "id", "c", "s").repartition("key", "sub").sortWithinPartitions("key", "sub", "id")
-    more = stored(blocks.mapInArrow(_block_links(percent), EDGE), "links-more")
+    more = stored(blocks.mapInArrow(_block_links(percent, expand), EDGE), "links-more")
     discard(sets)
     return comp if more.isEmpty() else components(good.unionByName(more))

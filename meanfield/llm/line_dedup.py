@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ._common import binary_rows, list_column, maybe_broadcast, spans, stored, text_buffer
 from ._links import link_components
-from ._text import band_keys, char_shingles, minhash, odd_sketch, permutations, unique_sets, xor_limit
+from ._text import band_keys, char_shingles, minhash, odd_sketch, permutations, xor_limit
 
 CHUNK = 2 << 20
 LINE = "doc_id long, th long, line_no int, id long, bands array<long>, sketch binary"
@@ -60,28 +60,33 @@ def _line_rows(min_bytes: int, size: int, bands: int, rows: int, bits: int):
     return run
 
 
-def _wanted_sets(size: int):
-    """(id, s) of the wanted lines: rows (text, want), want a list of (line_no, id)."""
+def _wanted(batches):
+    """(id, s) of the wanted lines, s the line: rows (text, want), want a list of (line_no, id)."""
+    for batch in batches:
+        data, offs = text_buffer(batch.column(0))
+        want = batch.column(1)
+        ids, out = [], []
+        for r in range(len(batch)):
+            part = data[offs[r] : offs[r + 1]]
+            cut = np.flatnonzero(part == 10)
+            los, his = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(part)]])
+            for x in want[r].as_py():
+                ids.append(x["id"])
+                out.append(part[los[x["line_no"]] : his[x["line_no"]]].tobytes())
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "s"])
 
-    def run(batches):
-        for batch in batches:
-            data, offs = text_buffer(batch.column(0))
-            want = batch.column(1)
-            ids, out = [], []
-            for r in range(len(batch)):
-                part = data[offs[r] : offs[r + 1]]
-                cut = np.flatnonzero(part == 10)
-                los, his = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(part)]])
-                items = sorted(want[r].as_py(), key=lambda x: x["line_no"])
-                k = np.array([x["line_no"] for x in items])
-                flat, n = unique_sets(*char_shingles(part, los[k], his[k], size))
-                ends = np.cumsum(n)
-                ids += [x["id"] for x in items]
-                out += [flat[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "s"])
 
-    return run
+def _line_sets(size: int):
+    """Lines to the rising hashes of their shingles; lines travel, for their sets are eight times as large."""
+
+    def expand(lines: list[bytes]) -> list[np.ndarray]:
+        ends = np.cumsum([len(x) for x in lines], dtype=np.int64)
+        starts = ends - np.array([len(x) for x in lines], np.int64)
+        h, offs = char_shingles(np.frombuffer(b"".join(lines), np.uint8), starts, ends, size)
+        return [np.unique(h[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+
+    return expand
 
 
 def dedup_lines(docs: DataFrame, min_bytes: int = 80, shingle: int = 9, percent: int = 85, bands: int = 10, rows: int = 4, bits: int = 128) -> DataFrame:
@@ -112,9 +117,9 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 80, shingle: int = 9, percent:
         first = places.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"))
         want = first.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.line_no", "id")).alias("want"))
         want = maybe_broadcast(stored(want, "line-want"))
-        return slim.join(want, ["doc_id", "th"]).select("text", "want").mapInArrow(_wanted_sets(shingle), "id long, s binary")
+        return slim.join(want, ["doc_id", "th"]).select("text", "want").mapInArrow(_wanted, "id long, s binary")
 
-    comp = link_components(sigs, xor_limit(bands * rows, bits, percent / 100), percent, fetch)
+    comp = link_components(sigs, xor_limit(bands * rows, bits, percent / 100), percent, fetch, _line_sets(shingle))
     places = places.join(maybe_broadcast(comp), "id", "left").select("doc_id", "th", "line_no", F.coalesce("component", "id").alias("cls"))
     first = places.groupBy("cls").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"), F.count("*").alias("n")).where("n > 1").select("cls", "at")
     gone = places.join(maybe_broadcast(stored(first, "line-first")), "cls").where(F.struct("doc_id", "th", "line_no") != F.col("at"))
