@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, parts, stored
+from ._common import parts, stored
 from ._graph import components
 
 FAR = np.int64(1 << 40)
@@ -253,11 +253,11 @@ def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[
     pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     checked = pairs.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent, expand), "a long, b long, ok boolean")
     checked = stored(checked.groupBy("a", "b").agg(F.max("ok").alias("ok")), "links-checked")
-    discard(sets)
     good = checked.where("ok").select("a", "b")
 
     wide = cand.where(F.col("m") > block).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    if checked.where("not ok").isEmpty() and wide.isEmpty():
+    narrow = wide.isEmpty()
+    if narrow and checked.where("not ok").isEmpty():
         return components(good)
     comp = components(good)
     clusters = components(checked.select("a", "b").unionByName(wide)).select("id", F.col("component").alias("key"))
@@ -273,8 +273,8 @@ def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[
     rows = rows.select("key", "id", "c", own.alias("own"), met.alias("met"), total.alias("total"))
     rows = rows.select("key", "id", "c", F.explode(F.transform("met", lambda x: F.least("own", x) * F.col("total") + F.greatest("own", x))).alias("sub"))
     rows = stored(rows, "links-blocks")
-    sets = stored(fetch(rows.select("id").distinct()), "links-set")
+    if not narrow:  # ids of a key of several blocks may have no edge yet
+        sets = sets.unionByName(stored(fetch(rows.select("id").distinct().join(need, "id", "left_anti")), "links-set"))
     blocks = rows.join(sets, "id").select("key", "sub", "id", "c", "s").repartition("key", "sub").sortWithinPartitions("key", "sub", "id")
     more = stored(blocks.mapInArrow(_block_links(percent, expand), EDGE), "links-more")
-    discard(sets)
     return comp if more.isEmpty() else components(good.unionByName(more))

@@ -133,7 +133,7 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 80, shingle: int = 9, percent:
     kept = F.array_join(F.transform(rest, lambda i: F.get(split, i)), "\n")
     size = F.octet_length("text")
     out = out.withColumn("_new", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)))
+    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(size - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1))
     out = out.withColumn("removed", F.coalesce("_gone", F.array().cast("array<int>")))
     out = out.withColumn("share", F.when(F.col("_gone").isNull() | (size == 0), 0.0).otherwise((size - F.octet_length("_new")) / size))
     out = out.withColumn("text", F.col("_new"))
