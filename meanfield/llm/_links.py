@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parts, stored
+from ._common import parts, stored, tidy
 from ._graph import components
 
 FAR = np.int64(1 << 40)
@@ -240,18 +240,18 @@ def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[
     So no candidate pair that could join two components stays unchecked, no cap drops one, and a task holds two blocks.
     """
     count = max(int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(sigs.count(), PART_IDS))
-    shared = sigs.select("id", "bands").mapInArrow(_deal(count), "p int, x binary").repartition(count, "p").sortWithinPartitions("p")
-    shared = stored(shared.mapInArrow(_shared, "key long, id long, m long, first long"), "links-shared")
+    shared = sigs.select("id", "bands").mapInArrow(tidy(_deal(count)), "p int, x binary").repartition(count, "p").sortWithinPartitions("p")
+    shared = stored(shared.mapInArrow(tidy(_shared), "key long, id long, m long, first long"), "links-shared")
     sketch = sigs.select("id", "sketch").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     cand = stored(shared.join(sketch, "id"), "links-cand")
     dealt = cand.withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)).cast("int")).select("key", "sub", "id", "sketch")
-    edges = dealt.repartition("key", "sub").sortWithinPartitions("key", "sub", "id").mapInArrow(_first_edges(limit), EDGE)
+    edges = dealt.repartition("key", "sub").sortWithinPartitions("key", "sub", "id").mapInArrow(tidy(_first_edges(limit)), EDGE)
     edges = stored(edges.distinct(), "links-edges")
 
     need = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "links-need")
     sets = stored(fetch(need), "links-set")
     pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    checked = pairs.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent, expand), "a long, b long, ok boolean")
+    checked = pairs.select("a", "b", "sa", "sb").mapInArrow(tidy(_confirm(percent, expand)), "a long, b long, ok boolean")
     checked = stored(checked.groupBy("a", "b").agg(F.max("ok").alias("ok")), "links-checked")
     good = checked.where("ok").select("a", "b")
 
@@ -276,5 +276,5 @@ def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[
     if not narrow:  # ids of a key of several blocks may have no edge yet
         sets = sets.unionByName(stored(fetch(rows.select("id").distinct().join(need, "id", "left_anti")), "links-set"))
     blocks = rows.join(sets, "id").select("key", "sub", "id", "c", "s").repartition("key", "sub").sortWithinPartitions("key", "sub", "id")
-    more = stored(blocks.mapInArrow(_block_links(percent, expand), EDGE), "links-more")
+    more = stored(blocks.mapInArrow(tidy(_block_links(percent, expand)), EDGE), "links-more")
     return comp if more.isEmpty() else components(good.unionByName(more))

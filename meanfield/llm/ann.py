@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import parts, stored
+from ._common import parts, stored, tidy
 
 INDEX = "dim int, shard int, vectors binary, members binary, counts binary, graph binary, starts binary"
 #: Vertices at most at which a search begins.
@@ -220,7 +220,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int =
     blocks = queries.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
     blocks = blocks.join(index.select("dim", "shard"), "dim")
     pairs = index.join(blocks.select("dim", "shard", "q"), ["dim", "shard"])
-    found = pairs.repartition("dim", "shard", F.xxhash64("q")).mapInArrow(_search(k, beam), FOUND)
+    found = pairs.repartition("dim", "shard", F.xxhash64("q")).mapInArrow(tidy(_search(k, beam)), FOUND)
     rows = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score")).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_rows, list_column, maybe_broadcast, spans, stored, text_buffer
+from ._common import binary_rows, list_column, maybe_broadcast, spans, stored, text_buffer, tidy
 from ._links import link_components
 from ._text import band_keys, char_shingles, minhash, odd_sketch, permutations, xor_limit
 
@@ -108,7 +108,7 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 80, shingle: int = 9, percent:
     docs = docs.drop("n_lines", "removed", "share")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")]
     slim = docs.select(*key)
-    lines = stored(slim.mapInArrow(_line_rows(min_bytes, shingle, bands, rows, bits), LINE), "line-sig")
+    lines = stored(slim.mapInArrow(tidy(_line_rows(min_bytes, shingle, bands, rows, bits)), LINE), "line-sig")
     sigs = lines.where(F.size("bands") > 0).select("id", "bands", "sketch")
     places = lines.select("doc_id", "th", "line_no", "id")
 
@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 80, shingle: int = 9, percent:
         first = places.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"))
         want = first.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.line_no", "id")).alias("want"))
         want = maybe_broadcast(stored(want, "line-want"))
-        return slim.join(want, ["doc_id", "th"]).select("text", "want").mapInArrow(_wanted, "id long, s binary")
+        return slim.join(want, ["doc_id", "th"]).select("text", "want").mapInArrow(tidy(_wanted), "id long, s binary")
 
     comp = link_components(sigs, xor_limit(bands * rows, bits, percent / 100), percent, fetch, _line_sets(shingle))
     places = places.join(maybe_broadcast(comp), "id", "left").select("doc_id", "th", "line_no", F.coalesce("component", "id").alias("cls"))

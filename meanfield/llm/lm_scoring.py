@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parts, spans, stored, text_buffer
+from ._common import parts, spans, stored, text_buffer, tidy
 
 BITS = 6
 #: Symbol of each byte: 0 text start, 1 white space and controls, 2 digits, 3-28 letters, 29-41 punctuation, 42-63 bytes over 127.
@@ -111,7 +111,7 @@ def ngram_tables(docs: DataFrame, order: int = 5, min_count: int = 2, backoff: f
     ``min_count`` times, plus log(backoff) for each order below; at order 1 every count will do.
     """
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    top = stored(docs.mapInArrow(_count(order), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "lm-top")
+    top = stored(docs.mapInArrow(tidy(_count(order)), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "lm-top")
     out = top.select("g", "c")
     lp = None
     for k in range(order, 0, -1):

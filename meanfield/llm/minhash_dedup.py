@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_rows, list_column, maybe_broadcast, spans, stored, text_buffer
+from ._common import binary_rows, list_column, maybe_broadcast, spans, stored, text_buffer, tidy
 from ._links import link_components
 from ._text import band_keys, minhash, odd_sketch, permutations, set_prints, unique_sets, word_hashes, word_shingles, xor_limit
 
@@ -68,7 +68,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
     with no copies, a null component and is kept; of several texts under one doc_id any may stand for it in its links.  Extra columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = stored(docs.mapInArrow(_signatures(shingle, bands, rows, samples, bits), SIG), "near-sig")
+    sigs = stored(docs.mapInArrow(tidy(_signatures(shingle, bands, rows, samples, bits)), SIG), "near-sig")
     full = sigs.where("n_shingles > 0")
     classes = stored(full.groupBy("n_shingles", "p0", "p1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-class")
     reps = full.join(classes.select("n_shingles", "p0", "p1", F.col("rep").alias("doc_id")), ["n_shingles", "p0", "p1", "doc_id"], "left_semi")
@@ -76,7 +76,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
 
     def fetch(ids: DataFrame) -> DataFrame:
         ids = maybe_broadcast(ids.select(F.col("id").alias("doc_id")))
-        return docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "id long, s binary")
+        return docs.join(ids, "doc_id", "left_semi").mapInArrow(tidy(_full_sets(shingle)), "id long, s binary")
 
     comp = link_components(reps, xor_limit(samples, bits, percent / 100), percent, fetch)
     linked = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").where("copies > 1 or component is not null")

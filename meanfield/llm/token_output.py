@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import tidy
+
 from ._tokens import encoder, piece_starts
 
 ROW = "n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, resets array<int>, ids binary"
@@ -112,7 +114,7 @@ def packed_rows(docs: DataFrame, seq_len: int = 2048, tokenizer: str = "byte_bpe
         if held:
             yield flush(True)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROW)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), ROW)
 
 
 def write_packed(docs: DataFrame, path: str, **params) -> DataFrame:

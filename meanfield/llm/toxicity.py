@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import tidy
+
 #: What obfuscators write for a letter.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c"}
 SEPARATORS = " .-_*"
@@ -214,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3
                             grams[g] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["g", "n"])
 
-    counts = train.mapInArrow(letters, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(50_000).collect()
+    counts = train.mapInArrow(tidy(letters), "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(50_000).collect()
     chars = CharModel({r["g"]: r["n"] for r in counts})
 
     def of(batch, known):
@@ -239,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3
             part = names[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([0] * len(part), pa.int64()), pa.array([good[x] for x in part], pa.int64())], ["f", "t", "c"])
 
-    table = train.mapInArrow(tally, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    table = train.mapInArrow(tidy(tally), "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     rows = table.where(f"f = '' or (t >= {least} and 20 * c <= t)").orderBy(F.desc("t"), "f").limit(100_000).collect()
     size = next(((r["t"], r["c"]) for r in rows if r["f"] == ""), (0, 0))
     seen = {r["f"]: (r["t"], r["c"]) for r in rows if r["f"]}
@@ -254,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3
                 groups.append(min((zlib.crc32(f.encode()) for f in found), default=0))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), pa.array(groups, pa.int64())], ["f", "g"])
 
-    rows = list(train.where("toxic = 1").mapInArrow(toxic_features, "f array<string>, g long").toLocalIterator())
+    rows = list(train.where("toxic = 1").mapInArrow(tidy(toxic_features), "f array<string>, g long").toLocalIterator())
     lexicon = cover([set(r["f"]) for r in rows], [r["g"] for r in rows], seen, least)
     bare = sum(not lexicon.keys() & set(r["f"]) for r in rows)
     return ToxicityModel(chars, lexicon, (bare + 0.5) / (bare + size[1] + 10))
@@ -326,7 +328,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
                 matched.append(sorted(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(matched, pa.list_(pa.string()))], ["doc_id", "score", "matched"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORE)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCORE)
     out = out.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "matched")
 
@@ -347,4 +349,4 @@ def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Dat
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     text_at = docs.columns.index("text")
-    return docs.mapInArrow(run, pattern_rows)
+    return docs.mapInArrow(tidy(run), pattern_rows)

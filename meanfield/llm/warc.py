@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import maybe_broadcast, stored
+from ._common import maybe_broadcast, stored, tidy
 
 #: Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -153,7 +153,7 @@ def bundle_pages(pages: DataFrame, min_revisit: int = 1000, frame_bytes: int = 2
         if frames:
             yield close_bundle()
 
-    return joined.mapInArrow(run, BUNDLE)
+    return joined.mapInArrow(tidy(run), BUNDLE)
 
 
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, bundle_id string, frame int, offset long"
@@ -186,4 +186,4 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PAGE.split(", ")])
 
-    return bundles.select("bundle_id", "data", "records").mapInArrow(run, PAGE)
+    return bundles.select("bundle_id", "data", "records").mapInArrow(tidy(run), PAGE)
