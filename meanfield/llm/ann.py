@@ -163,9 +163,12 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     first = Window.partitionBy("v", "dim").orderBy("id")
     rows = rows.select("id", "v", "dim").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
     classes = stored(rows.groupBy("dim", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann-classes")
-    counts = classes.groupBy("dim").agg(F.count("*").alias("n"))
+    counts = stored(classes.groupBy("dim").agg(F.count("*").alias("n")), "ann-dims")
     shard = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / shard_rows)).cast("int")
     classes = classes.join(counts, "dim").select("dim", shard.alias("shard"), "v", "ids")
+    # a given number of partitions isn't merged: a shard is little data and much work
+    tasks = 4 * (counts.agg(F.sum(F.ceil(F.col("n") / shard_rows))).first()[0] or 1)
+    classes = classes.repartition(int(tasks), "dim", "shard")
     return stored(classes.groupBy("dim", "shard").applyInArrow(_build(degree, beam, slack), INDEX), "ann-index")
 
 
