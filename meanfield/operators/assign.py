@@ -85,10 +85,12 @@ def sums_batch(s, n, e, p) -> pa.RecordBatch:
 
 
 def reduced(partials: DataFrame) -> list:
-    """Adds the tasks' rows of each cluster; K rows reach the driver."""
+    """Adds the tasks' rows of each cluster, in an order that depends on their values alone; K rows reach the driver."""
 
     def add(key, t):
-        s = t["s"].combine_chunks().flatten().to_numpy().reshape(len(t), -1).sum(0)
+        s = t["s"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        order = np.lexsort((*s.T[:4], t["sse"].to_numpy(), t["n"].to_numpy()))
+        s, t = s[order].sum(0), t.take(pa.array(order))
         return pa.table({"cid": pa.array([key[0].as_py()], pa.int32()), "s": pa.array([s], pa.list_(pa.float64())), "n": [sum(t["n"].to_pylist())], "sse": [sum(t["sse"].to_pylist())], "pen": [sum(t["pen"].to_pylist())]})
 
     return partials.groupBy("cid").applyInArrow(add, PARTIAL).collect()

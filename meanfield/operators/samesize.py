@@ -48,10 +48,11 @@ def swaps(d: np.ndarray, cid: np.ndarray) -> int:
     return count
 
 
-def same_size(df: DataFrame, c: np.ndarray, rounds: int = 0) -> DataFrame:
+def same_size(df: DataFrame, c: np.ndarray, rounds: int = 0, given: str | None = None) -> DataFrame:
     """(id, cid, d2, before): same-size assignment of ``df`` (id, v); with rounds, swaps and new means until none helps.
 
-    before is the mean squared distance ahead of the swaps, d2 each row's at the end.
+    before is the mean squared distance ahead of the swaps, d2 each row's at the end.  ``given``: a column of ``df`` with
+    each row's cluster, from which the swaps start instead of the greedy assignment; they keep its sizes.
     """
     if df.limit(MAX_ROWS + 1).count() > MAX_ROWS:
         raise ValueError(f"same-size clustering takes at most {MAX_ROWS} rows")
@@ -62,7 +63,7 @@ def same_size(df: DataFrame, c: np.ndarray, rounds: int = 0) -> DataFrame:
         m = c.copy()
         dist = lambda: np.stack([((x - row) ** 2).sum(1) for row in m], 1)
         d = dist()
-        cid = greedy(d)
+        cid = greedy(d) if given is None else table["given"].to_numpy().astype(np.int64)
         before = float(d[np.arange(len(x)), cid].mean())
         for _ in range(rounds):
             if not swaps(d, cid):
@@ -73,4 +74,5 @@ def same_size(df: DataFrame, c: np.ndarray, rounds: int = 0) -> DataFrame:
             d = dist()
         return pa.table({"id": table["id"], "cid": pa.array(cid.astype(np.int32)), "d2": pa.array(d[np.arange(len(x)), cid]), "before": pa.array(np.full(len(x), before))})
 
-    return df.select("id", "v", F.lit(0).alias("_g")).groupBy("_g").applyInArrow(lambda t: run(t.select(["id", "v"])), "id long, cid int, d2 double, before double")
+    start = F.lit(0) if given is None else F.col(given)
+    return df.select("id", "v", start.cast("int").alias("given"), F.lit(0).alias("_g")).groupBy("_g").applyInArrow(lambda t: run(t.drop_columns(["_g"])), "id long, cid int, d2 double, before double")

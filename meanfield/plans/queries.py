@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meanfield.functions import draws
 from meanfield.functions.vectors import sqdist, sqnorm, uniform, vectors
 from meanfield.operators import assign, init, kmeans, pruned, samesize, stats
 from meanfield.sources import matrix
@@ -89,7 +90,7 @@ def fetch_row(spark, d):
 
 
 def pairwise_sqdist(spark, d):
-    a = _e(spark, d).where("id < 40")
+    a = _e(spark, d)
     b = a.select(F.col("id").alias("b"), F.col("v").alias("w"))
     return a.join(b, F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", _r(sqdist("v", "w")).alias("d2"))
 
@@ -308,6 +309,17 @@ def samesize_iterative(spark, d):
     return samesize.same_size(_e(spark, d), _fit(spark, d, max_iter=3).centroids, rounds=100)
 
 
+def samesize_from_assignment(spark, d):
+    """Swaps from a dealt assignment of equal sizes."""
+    e = assign.positions(_e(spark, d)).withColumn("cid", F.col("pos") % K)
+    return samesize.same_size(e, _first(spark, d), rounds=100, given="cid")
+
+
+def random_draws(spark, d):
+    o = _table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"))
+    return o.select("id", draws.integer(9, SEED, "int", "id").alias("i"), _r(draws.open_uniform(SEED, "open", "id")).alias("u"), _r(draws.normal(SEED, "n", "id")).alias("z"), _r(draws.cauchy(SEED, "c", "id"), 2).alias("c"))
+
+
 def stochastic_relaxation(spark, d):
     m = kmeans.relaxed(_prepared(spark, d), _first(spark, d), 2.0)
     return spark.createDataFrame([(h["it"], float(h["fit"])) for h in m.history], "it long, fit double")
@@ -332,7 +344,7 @@ QUERIES = {f.__name__: f for f in (
     classify, classify_dist, second_nearest, top_b_nearest, annulus_candidates, mse, mse_given_labels, cluster_sse, cluster_sizes, size_balance_stats, compute_centers, class_lists, quantize, write_classes,
     find_objects, filter_class, dump_clusters, sort_centroids, permute_centroids, inverse_permutation, init_forgy, init_random, init_mindist, init_plusplus, init_oror, lloyd_fit_history, lloyd_centroids,
     lloyd_part, balanced_kmeans, sampled_kmeans, lloyd_no_mse, _accelerated("elkan"), _accelerated("hamerly"), _accelerated("annulus"), _accelerated("drake", n_bounds=4), _accelerated("yinyang", groups=3),
-    yinyang_groups, move_deltas, drift, best_of_restarts, samesize_assignment, samesize_iterative, stochastic_relaxation, timed_restarts, distance_ratios,
+    yinyang_groups, move_deltas, drift, best_of_restarts, samesize_assignment, samesize_iterative, samesize_from_assignment, random_draws, stochastic_relaxation, timed_restarts, distance_ratios,
 )}
 
 E_ = "e as (select cast(vec_id as bigint) id, list_transform(embedding, lambda x: cast(x as double)) v, label from embeddings)"
@@ -387,7 +399,7 @@ ORACLE_SQL = {
     "row_block_partition": _q(E_, "b as (select id, ntile(7) over (order by id) block from e)", select="select block, count(*) n, min(id) lo, max(id) hi from b group by block"),
     "select_rows": _q(E_, P_, "w as (select cast(k as bigint) k, pos from (values (0, 5), (1, 3), (2, 3), (3, 99), (4, 0), (5, 5)) t(k, pos))", select=f"select k, id, {_z('v[1]', 'x')} from w join p using (pos)"),
     "fetch_row": _q(E_, P_, select=f"select id, cast(unnest(range(0, len(v))) as bigint) j, {_z('unnest(v)', 'x')} from p where pos = 42"),
-    "pairwise_sqdist": _q(E_, select=f"select a.id a, b.id b, {_z('list_distance(a.v, b.v) ** 2', 'd2')} from e a join e b on a.id < b.id where b.id < 40"),
+    "pairwise_sqdist": _q(E_, select=f"select a.id a, b.id b, {_z('list_distance(a.v, b.v) ** 2', 'd2')} from e a join e b on a.id < b.id"),
     "row_norms": _q(E_, select=f"select id, {_z('list_inner_product(v, v)', 'n2')} from e"),
     "centroid_pairwise": _q(E_, C_, select=f"select a.cid a, b.cid b, {_z('list_distance(a.c, b.c) / 2', 'half')} from c a join c b on a.cid > b.cid"),
     "smallest_centroid_dist": _q(E_, C_, select=f"select a.cid cid, {_z('min(list_distance(a.c, b.c))', 's')} from c a join c b on a.cid <> b.cid group by a.cid"),
@@ -436,6 +448,9 @@ ORACLE_SQL = {
     "lloyd_no_mse": _q(E_, *_lloyd(_R, K, ROUNDS), select=f"{_FLAT} from l where it = {ROUNDS}", recursive=True),
     **{name: _HISTORY for name in pruned.KERNELS},
     "yinyang_groups": f"select cast(i as bigint) cid, ntile(3) over (order by i) - 1 grp from range({K}) t(i)",
+    "random_draws": f"""select o_orderkey id, cast(floor({_u(repr(f'{SEED}:int:'), 'o_orderkey')} * 10) as bigint) i, {_z(_u(repr(f'{SEED}:open:'), 'o_orderkey'), 'u')},
+        {_z(f"sqrt(-2 * ln({_u(repr(f'{SEED}:n:r:'), 'o_orderkey')} + 0.5 / 4503599627370496.0)) * cos(2 * pi() * {_u(repr(f'{SEED}:n:a:'), 'o_orderkey')})", 'z')},
+        {_z(f"tan(pi() * ({_u(repr(f'{SEED}:c:'), 'o_orderkey')} + 0.5 / 4503599627370496.0 - 0.5))", 'c', 2)} from orders""",
     "move_deltas": _q(
         E_, *_lloyd(_R, K, 1), "a as (select l.it, r.id, min(struct_pack(d := list_distance(r.v, l.c), cid := l.cid)).cid cid from r, l group by l.it, r.id)",
         "b as (select o.cid old, n.cid new from a o join a n on o.id = n.id and o.it = 0 and n.it = 1 and o.cid <> n.cid)",

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from meanfield.functions.vectors import distances, uniform, uniform_value
@@ -8,7 +9,7 @@ from meanfield.plans import queries
 from meanfield.sources import matrix
 
 DIR = "/root/testdata/sf0.001"
-QUICK = ["scan_vectors", "column_stats", "standardize", "row_block_partition", "select_rows", "classify", "top_b_nearest", "annulus_candidates", "cluster_sse", "compute_centers", "init_forgy", "init_mindist", "lloyd_fit_history", "balanced_kmeans", "sampled_kmeans", "move_deltas"]
+QUICK = ["scan_vectors", "column_stats", "standardize", "row_block_partition", "select_rows", "classify", "top_b_nearest", "annulus_candidates", "cluster_sse", "compute_centers", "init_forgy", "init_mindist", "lloyd_fit_history", "balanced_kmeans", "sampled_kmeans", "move_deltas", "pairwise_sqdist", "random_draws"]
 
 
 def frame(spark, x):
@@ -25,7 +26,7 @@ def test_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("embeddings", "customer", "part"):
+    for t in ("embeddings", "customer", "part", "orders"):
         db.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     got = queries.QUERIES[name](spark, DIR)
     cols = sorted(got.columns)
@@ -122,6 +123,21 @@ def test_same_size(spark):
     assert np.mean([r["d2"] for r in rows]) <= rows[0]["before"] + 1e-12
 
 
+def test_same_size_from_assignment(spark):
+    x = clouds(40)
+    df = frame(spark, x).withColumn("at", F.col("id") % 4)
+    rows = samesize.same_size(df, x[:4], rounds=50, given="at").collect()
+    assert np.bincount([r["cid"] for r in rows]).tolist() == [10] * 4
+    assert np.mean([r["d2"] for r in rows]) < rows[0]["before"]
+
+
+@pytest.mark.parametrize("n,rate,bins", [(200, 0.5, 16), (200, 0.003, 16), (200, 1.0, 1), (7, 0.3, 65_536)])
+def test_sample_takes_the_smallest_uniforms(spark, n, rate, bins):
+    got = sorted(r["id"] for r in kmeans.sampled(frame(spark, np.zeros((n, 1))), n, rate, 3, 1, bins).collect())
+    order = sorted(range(n), key=lambda i: (uniform_value(3, "s:1", i), i))
+    assert got == sorted(order[: max(1, int(n * rate))])
+
+
 def test_formats(spark, tmp_path):
     x = clouds(21).astype(np.float32)
     df = frame(spark, x).withColumnRenamed("id", "pos")
