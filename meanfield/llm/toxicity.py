@@ -115,6 +115,8 @@ def suspects(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+#: Distinct words a task holds while it counts.
+WORDS = 200_000
 _SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_](?![^\W_])){2,}")
 
 
@@ -191,10 +193,38 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def character_model(docs: DataFrame, most: int = 50_000) -> CharModel:
+    """Counts the trigrams of the words of all of ``docs`` (text); the model keeps the ``most`` frequent.
+
+    A task counts words first and turns distinct words into trigrams when it holds ``WORDS`` of them.
+    """
+
+    def letters(batches):
+        words: Counter = Counter()
+
+        def grams():
+            out: Counter = Counter()
+            for w, n in words.items():
+                for g in CharModel.grams(w):
+                    out[g] += n
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["g", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                words.update(w for w in _WORD.findall((text.as_py() or "").lower()) if len(w) <= 24)
+                if len(words) > WORDS:
+                    yield grams()
+        yield grams()
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(letters), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return CharModel({r["g"]: r["n"] for r in counts.orderBy(F.desc("n"), "g").limit(most).collect()})
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3) -> ToxicityModel:
     """Learns from at most ``sample`` labelled documents that aren't held out (those with the smallest id hashes).
 
-    The character model counts their words' trigrams.  Features are the words and word beginnings of restored texts.
+    The character model counts the words of all documents, without labels.  Features are the words and word beginnings of restored texts.
     Sequential covering (``cover``) then picks the lexicon among features that occur in ``least`` toxic documents and in
     no more than a twentieth as many clean ones, so words that merely stand beside a toxic word in copies of one document
     aren't learned.  Rows with a null id, label or text teach nothing.
@@ -206,18 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     train = train.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # at most ``sample`` rows
 
-    def letters(batches):
-        grams: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                for w, n in Counter(_WORD.findall(text.lower())).items():
-                    if len(w) <= 24:
-                        for g in CharModel.grams(w):
-                            grams[g] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["g", "n"])
-
-    counts = train.mapInArrow(tidy(letters), "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(50_000).collect()
-    chars = CharModel({r["g"]: r["n"] for r in counts})
+    chars = character_model(docs)
 
     def of(batch, known):
         for k, low, at in _documents(batch, 1):

@@ -310,6 +310,19 @@ def test_seek_table():
         warc.read_seek_table(data[:-1] + b"\0")
 
 
+def test_character_model_counts_every_document(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 2)
+    texts = [None, "", "Ab ab 12 cé", "ab " * 500, "x" * 30, "last ÉTÉ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            if len(w) <= 24:
+                want.update(toxicity.CharModel.grams(w))
+    assert toxicity.character_model(df).counts == dict(want)
+    assert toxicity.character_model(df.limit(0)).counts == {}
+
+
 def test_restore():
     words = ["idiot", "stupid", "loser", "trash", "clown", "hello", "letter", "good", "morning"]
     m = toxicity.CharModel(Counter(g for w in words * 50 for g in toxicity.CharModel.grams(w)))
