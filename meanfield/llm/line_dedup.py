@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 80, shingle: int = 9, percent:
         ids = maybe_broadcast(stored(ids, "line-need"))
         first = places.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"))
         want = first.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.line_no", "id")).alias("want"))
-        want = maybe_broadcast(stored(want, "line-want"))
+        want = maybe_broadcast(stored(want, "line-want"), items="want")
         return slim.join(want, ["doc_id", "th"]).select("text", "want").mapInArrow(tidy(_wanted), "id long, s binary")
 
     comp = link_components(sigs, xor_limit(bands * rows, bits, percent / 100), percent, fetch, _line_sets(shingle))
@@ -124,7 +124,7 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 80, shingle: int = 9, percent:
     first = places.groupBy("cls").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"), F.count("*").alias("n")).where("n > 1").select("cls", "at")
     gone = places.join(maybe_broadcast(stored(first, "line-first")), "cls").where(F.struct("doc_id", "th", "line_no") != F.col("at"))
     gone = stored(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "line-gone")
-    gone = maybe_broadcast(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("gone").alias("_gone")))
+    gone = maybe_broadcast(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("gone").alias("_gone")), items="_gone")
 
     tagged = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64("text"))
     out = tagged.join(gone, (F.col("_id") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
