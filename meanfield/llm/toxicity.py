@@ -52,6 +52,8 @@ class CharModel:
 
     def log_prob(self, gram: str) -> float:
         if gram not in self._known:
+            if len(self._known) > WORDS:
+                self._known.clear()
             p1 = (self.uni[gram[2]] + 0.5) / (self.total + 100)
             p2 = (self.bi[gram[1:]] + 5 * p1) / (self.ctx2[gram[1]] + 5)
             self._known[gram] = math.log((self.tri[gram] + 5 * p2) / (self.ctx3[gram[:2]] + 5))
@@ -115,8 +117,8 @@ def suspects(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
-#: Distinct words a task holds while it counts.
-WORDS = 200_000
+#: Distinct words a task holds while it counts, and restored words or trigram scores it remembers.
+WORDS = 50_000
 _SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_](?![^\W_])){2,}")
 
 
@@ -141,7 +143,7 @@ def restored_words(text: str, at: list[int], model: CharModel, known: dict[str,
         for token in tokens:
             if len(token) > 1:
                 if token not in known:
-                    if len(known) > 200_000:
+                    if len(known) > WORDS:
                         known.clear()
                     known[token] = restore(token, model)
                 out.append(known[token])
