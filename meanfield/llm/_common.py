@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from . import _tokens
+
 #: Largest side, in rows, that an operator broadcasts after counting it.
 BROADCAST_ROWS = 500_000
 #: Elements that all lists of a broadcast side may hold together.
@@ -70,10 +72,15 @@ def _release() -> None:
         pass  # another C library; only its habits differ
 
 
-def tidy(run):
-    """A function for mapInArrow that leaves no free memory behind: workers stay alive, idle, between stages."""
+def tidy(run, tokens: bool = False):
+    """A function for mapInArrow that leaves no free memory behind: workers stay alive, idle, between stages.
+
+    tokens: ``run`` encodes texts; a worker that runs any other function forgets the vocabularies it has loaded.
+    """
 
     def tidied(batches):
+        if not tokens:
+            _tokens.forget()
         _release()
         try:
             yield from run(batches)

@@ -62,6 +62,11 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drops all loaded encoders."""
+    _loaded.clear()
+
+
 def piece_starts(length: int, capacity: int) -> list[int]:
     """Where the pieces of a document start: pieces of ``capacity``, of which the first may be shorter."""
     first = length % capacity

@@ -114,7 +114,7 @@ def packed_rows(docs: DataFrame, seq_len: int = 2048, tokenizer: str = "byte_bpe
         if held:
             yield flush(True)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), ROW)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, tokens=True), ROW)
 
 
 def write_packed(docs: DataFrame, path: str, **params) -> DataFrame:
