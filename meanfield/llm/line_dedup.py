@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ._common import binary_rows, list_column, maybe_broadcast, spans, stored, text_buffer, tidy
 from ._links import link_components
-from ._text import band_keys, char_shingles, minhash, odd_sketch, permutations, xor_limit
+from ._text import _SPACE, band_keys, char_shingles, minhash, odd_sketch, permutations, xor_limit
 
 CHUNK = 2 << 20
 LINE = "doc_id long, th long, line_no int, id long, bands array<long>, sketch binary"
@@ -25,6 +25,14 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, row, np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate([first, [len(row)]])))
 
 
+def _trimmed(data, starts, ends):
+    """Starts and ends without white space on either side; a blank line ends where it starts."""
+    inside = np.flatnonzero(~_SPACE[data])
+    lo, hi = np.searchsorted(inside, starts), np.searchsorted(inside, ends)
+    full, inside = hi > lo, np.append(inside, 0)
+    return np.where(full, inside[lo], starts), np.where(full, inside[hi - 1] + 1, starts)
+
+
 def _line_ids(data, starts, ends):
     return char_shingles(data, starts, ends, 1 << 40)[0].view(np.int64)
 
@@ -40,12 +48,15 @@ def _line_rows(min_bytes: int, size: int, bands: int, rows: int, bits: int):
                 part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 starts, ends, row, number = _lines(part, at)
                 use = ends - starts >= min_bytes
+                starts, ends = _trimmed(part, starts, ends)
+                use &= ends > starts
                 starts, ends, row, number = starts[use], ends[use], row[use], number[use]
                 ids = _line_ids(part, starts, ends)
-                # lines lately seen in this task need no second signature
+                # lines lately seen in this task need no second signature, and a line of one short shingle equals no other
                 fresh = np.zeros(len(ids), bool)
+                long = (ends - starts >= size).tolist()
                 for k, v in enumerate(ids.tolist()):
-                    if v not in seen:
+                    if long[k] and v not in seen:
                         seen[v] = None
                         fresh[k] = True
                 if len(seen) > 500_000:
@@ -72,7 +83,7 @@ def _wanted(batches):
             los, his = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(part)]])
             for x in want[r].as_py():
                 ids.append(x["id"])
-                out.append(part[los[x["line_no"]] : his[x["line_no"]]].tobytes())
+                out.append(part[los[x["line_no"]] : his[x["line_no"]]].tobytes().strip(b" \t\n\r\v\f"))
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "s"])
 
@@ -92,9 +103,11 @@ def _line_sets(size: int):
 def dedup_lines(docs: DataFrame, min_bytes: int = 80, shingle: int = 9, percent: int = 85, bands: int = 10, rows: int = 4, bits: int = 128) -> DataFrame:
     """``docs`` (doc_id, text, ...) with lines removed that repeat an earlier line, and n_lines, removed, share.
 
-    Lines end at a line feed; lines of under ``min_bytes`` UTF-8 bytes take no part and always stay.  Two lines are linked
-    if their sets of ``shingle``-byte shingles have a Jaccard similarity of at least percent / 100.  Of each component of
-    linked or equal lines one stays: that with the smallest (doc_id, text hash, line number).
+    Lines end at a line feed; blank lines and lines of under ``min_bytes`` UTF-8 bytes take no part and always stay (1: every
+    line that isn't blank takes part).  Lines are compared without white space on either side.  Two lines are linked if
+    their sets of ``shingle``-byte shingles have a Jaccard similarity of at least percent / 100; a line shorter than a
+    shingle is linked to its equals only.  Of each component of linked or equal lines one stays: that with the smallest
+    (doc_id, text hash, line number).
 
     Method: MinHash signatures over character shingles, ``bands`` bands of ``rows`` values (a pair at 0.85 is found with
     a chance of 1 - (1 - 0.85 ** 4) ** 10 = 0.9994), exact Jaccard checks on the full sets, and distributed union-find.

@@ -42,7 +42,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed", "share", "text")
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_bytes=1).select("doc_id", "n_lines", "removed", "share", "text")
 
 
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meanfield.llm import ann, line_dedup, lm_scoring, media, minhash_dedup, mixing, packing, token_output, toxicity, warc
+from meanfield.llm import ann, line_dedup, lm_scoring, media, minhash_dedup, mixing, packing, queries, token_output, toxicity, warc
 from meanfield.llm._graph import components
 from meanfield.llm._tokens import encoder
 
@@ -284,6 +284,14 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    near = "all rights are reserved by the owner"
+    rows = [(1, "Ok.\nfirst text\n\n" + near, "s"), (2, "Ok.\n\n" + near + "s\nsecond text", "s"), (3, " Ok. \r\nNo.\n \nfirst texts", "s"), (4, "No.\n" + "a" * 9 + "\n" + "a" * 12, "s")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["removed"] for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 2], 3: [0], 4: [0, 2]}
+
+
 def test_warc(spark):
     big, other = "x" * 1200, "é" * 700
     rows = [(1, "http://a", big), (5, "http://b c", big), (3, None, big), (2, "http://d", "small"), (4, "http://e", "small"), (6, "u", None), (7, "u", other), (7, "u", other), (None, "u", big), (8, "u", "")]
