@@ -1,4 +1,4 @@
-"""Language-model scores by stupid backoff over relational n-gram tables."""
+"""Language-model scores by stupid backoff over n-gram tables dealt by hash."""
 
 from __future__ import annotations
 
@@ -9,140 +9,139 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parts, spans, stored, text_buffer, tidy
-
-BITS = 6
-#: Symbol of each byte: 0 text start, 1 white space and controls, 2 digits, 3-28 letters, 29-41 punctuation, 42-63 bytes over 127.
-_SYMBOL = np.ones(256, np.uint32)
-_SYMBOL[48:58] = 2
-_SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(3, 29)
-_SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum()]] = 41
-for _k, _c in enumerate(".,;:!?'\"-()/"):
-    _SYMBOL[ord(_c)] = 29 + _k
-_SYMBOL[128:] = 42 + np.arange(128) % 22
-TOTAL = 2_000_000
-#: Entries of a batch's lookup table at most; a batch with more takes a binary search.
-DENSE = 20_000_000
-#: Bytes of text worked on at once.
-CHUNK = 2 << 20
-
-
-def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
-    """The gram that ends at each byte; before a text's start stand zeros."""
-    sym = _SYMBOL[data]
-    pos = np.arange(len(data), dtype=np.int64) - np.repeat(offsets[:-1], np.diff(offsets))
-    g = sym.copy()
-    for k in range(1, order):
-        back = np.zeros(len(sym), np.uint32)
-        back[k:] = sym[:-k]
-        back[pos < k] = 0
-        g |= back << np.uint32(BITS * k)
-    return g
-
-
-def _count(order: int):
-    def run(batches):
-        grams, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(counts)], ["g", "c"])
-
-        for batch in batches:
-            data, offs = text_buffer(batch.column(0))
-            for i, j in spans(offs, CHUNK):
-                new, n = np.unique(_grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], order), return_counts=True)
-                both, at = np.unique(np.concatenate([grams, new]), return_inverse=True)
-                counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-                grams = both
-                if len(grams) > TOTAL:
-                    yield rows()
-                    grams, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        yield rows()
+from ._common import parts, text_buffer
+from ._text import _BASE, _BYTE, _LOWER, U64, mix64, word_hashes
+
+#: Bytes of text of a batch on average, at most.
+BATCH_BYTES = 16 << 20
+
+
+def _symbols(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words or bytes of each text, A-Z as a-z, and each text's offsets into them."""
+    return word_hashes(data, offsets) if unit == "words" else (mix64(_BYTE[_LOWER[data]]), offsets)
+
+
+def _grams(symbols: np.ndarray, offsets: np.ndarray, order: int):
+    """Of each order from 0: distinct 64-bit gram hashes (rising), the gram that ends at each symbol and that before it.
+
+    Before a text's start stand ``order`` marks; a gram of order k ends in the gram of order k - 1 that ends there.
+    """
+    n = np.diff(offsets)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(symbols)) + order * (row + 1)
+    padded = np.zeros(len(symbols) + order * len(n), np.uint64)
+    padded[at] = symbols
+    h = np.zeros(len(padded), np.uint64)
+    out = []
+    for k in range(order + 1):
+        if k:
+            before = np.concatenate([h[:1], h[:-1]])
+            h = mix64(before * U64(_BASE) + padded + U64(k))
+        values, number = np.unique(np.concatenate([h[at], h[at - 1]]) if k < order else h[at], return_inverse=True)
+        out.append((values, number[: len(at)], number[len(at) :]))
+    return out
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
 
-    return run
 
+def _unpack(data: bytes, kind) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(data[8:], n * width, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def _cuts(values: np.ndarray, count: int) -> np.ndarray:
+    """Ends of the ``count`` ranges of hashes in rising hashes."""
+    edges = np.array([(p << 64) // count for p in range(1, count)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]]).astype(np.int64)
+
+
+def _explode(order: int, unit: str, count: int):
+    """Rows (batch, p, h, n, m): a batch's distinct grams in hash range p, how often each ends at a symbol and stands before one."""
 
-def _explode(order: int):
     def run(key, table):
-        data, offs = text_buffer(table["text"])
-        g = np.zeros(0, np.uint32)
-        for i, j in spans(offs, CHUNK):
-            g = np.union1d(g, _grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], order))
-        return pa.table({"batch": pa.array(np.full(len(g), key[0].as_py()), pa.int64()), "g": pa.array(g.astype(np.int64))})
+        grams = _grams(*_symbols(*text_buffer(table["text"]), unit), order)
+        ends = [np.bincount(e, minlength=len(v)).astype(np.int64) for v, e, _ in grams]
+        contexts = [np.bincount(c, minlength=len(v)).astype(np.int64) for v, _, c in grams]
+        cuts = [_cuts(v, count) for v, _, _ in grams]
+        rows = []
+        for p in range(count):
+            span = [slice(c[p], c[p + 1]) for c in cuts]
+            h = np.concatenate([v[s] for (v, _, _), s in zip(grams, span, strict=True)])
+            if len(h):
+                # rising hashes travel as differences
+                h = np.diff(h, prepend=U64(0))
+                rows.append((p, _pack(h), *(_pack(np.concatenate([x[s] for x, s in zip(c, span, strict=True)])) for c in (ends, contexts))))
+        cols = [pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(4)]
+        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), *cols], ["batch", "p", "h", "n", "m"])
 
     return run
 
 
-def _sum(order: int):
+def _total(key, table):
+    """Rows (batch, p, n, m) of a hash range with the counts over all batches, in each batch's order."""
+    sets = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in table["h"].to_pylist()]
+    cut = np.cumsum([len(x) for x in sets])[:-1]
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    out = []
+    for name in ("n", "m"):
+        counts = np.concatenate([_unpack(x, np.int64) for x in table[name].to_pylist()])
+        sums = np.bincount(number, weights=counts, minlength=len(values)).astype(np.int64)
+        out.append(pa.array([_pack(x) for x in np.split(sums[number], cut)], pa.binary()))
+    return pa.table([table["batch"], table["p"], *out], ["batch", "p", "n", "m"])
+
+
+def _sum(order: int, unit: str, count: int, min_count: int, backoff: float):
     def run(key, docs, table):
-        grams, score = table["g"].to_numpy(), table["lp"].to_numpy()
-        # a dense table of (first three symbols) x (the others), both renumbered
-        low = BITS * (order - 3) if order > 3 else 0
-        heads, tails = grams >> low, grams & ((1 << low) - 1)
-        h, hi = np.unique(heads, return_inverse=True)
-        t, ti = np.unique(tails, return_inverse=True)
-        wide = len(h) * len(t) > DENSE
-        number_h, number_t = np.zeros(int(h.max(initial=0)) + 1, np.int64), np.zeros(int(t.max(initial=0)) + 1, np.int64)
-        number_h[h], number_t[t] = np.arange(len(h)) * len(t), np.arange(len(t))
-        dense = np.zeros(0 if wide else len(h) * len(t), np.float32)
-        if not wide:
-            dense[hi * len(t) + ti] = score
-        else:
-            grams, score = grams[np.argsort(grams)], score[np.argsort(grams)]
-        data, offs = text_buffer(docs["text"])
-        n, total = np.diff(offs), np.zeros(len(offs) - 1)
-        for i in range(len(n)):
-            if n[i]:
-                g = _grams(data[offs[i] : offs[i + 1]], np.array([0, n[i]]), order)
-                if wide:
-                    total[i] = score[np.searchsorted(grams, g)].sum()
-                    continue
-                total[i] = dense[number_h[g >> np.uint32(low)] + number_t[g & np.uint32((1 << low) - 1)]].sum(dtype=np.float64)
-        return pa.table({"doc_id": docs["doc_id"], "n_symbols": pa.array(n.astype(np.int64)), "log_prob": pa.array(total)})
+        symbols, offsets = _symbols(*text_buffer(docs["text"]), unit)
+        grams = _grams(symbols, offsets, order)
+        cuts = [_cuts(v, count) for v, _, _ in grams]
+        ends, contexts = ([np.zeros(len(v), np.int64) for v, _, _ in grams] for _ in range(2))
+        for p, n, m in zip(table["p"].to_pylist(), table["n"].to_pylist(), table["m"].to_pylist(), strict=True):
+            n, m, i = _unpack(n, np.int64), _unpack(m, np.int64), 0
+            for k, c in enumerate(cuts):
+                j = i + int(c[p + 1] - c[p])
+                ends[k][c[p] : c[p + 1]], contexts[k][c[p] : c[p + 1]] = n[i:j], m[i:j]
+                i = j
+        lp, todo = np.zeros(len(symbols)), np.ones(len(symbols), bool)
+        for k in range(order, 0, -1):
+            c, ctx = ends[k][grams[k][1]], contexts[k - 1][grams[k - 1][2]]
+            use = todo & (c >= (min_count if k > 1 else 1))
+            lp[use] = np.log(c[use] / ctx[use]) + (order - k) * math.log(backoff)
+            todo &= ~use
+        lengths = np.diff(offsets)
+        total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=lp, minlength=len(lengths))
+        return pa.table({"doc_id": docs["doc_id"], "n_symbols": pa.array(lengths.astype(np.int64)), "log_prob": pa.array(total)})
 
     return run
 
 
-def ngram_tables(docs: DataFrame, order: int = 5, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
-    """(g, c, lp): every n-gram of the highest order, its count and the stupid-backoff log score of its last symbol.
-
-    Counts of lower orders are sums of the highest order's counts over the grams with that end; a context's count is the
-    sum over its continuations.  lp is log(count / context count) at the highest order at which the gram occurs
-    ``min_count`` times, plus log(backoff) for each order below; at order 1 every count will do.
-    """
-    docs = docs.select(F.col("text").cast("string").alias("text"))
-    top = stored(docs.mapInArrow(tidy(_count(order)), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "lm-top")
-    out = top.select("g", "c")
-    lp = None
-    for k in range(order, 0, -1):
-        grams = top.groupBy(F.col("g").bitwiseAND((1 << BITS * k) - 1).alias("gk")).agg(F.sum("c").alias("ck")) if k < order else top.select(F.col("g").alias("gk"), F.col("c").alias("ck"))
-        context = grams.groupBy(F.shiftright("gk", BITS).alias("h")).agg(F.sum("ck").alias("ch"))
-        table = grams.withColumn("h", F.shiftright("gk", BITS)).join(context, "h")
-        score = F.log(F.col("ck") / F.col("ch")) + (order - k) * math.log(backoff)
-        table = table.where(F.col("ck") >= (min_count if k > 1 else 1)).select("gk", score.alias(f"s{k}"))
-        out = out.withColumn("gk", F.col("g").bitwiseAND((1 << BITS * k) - 1)).join(table, "gk", "left").drop("gk")
-        lp = F.col(f"s{k}") if lp is None else F.coalesce(lp, F.col(f"s{k}"))
-    return out.select("g", "c", lp.alias("lp"))
-
-
-def score(docs: DataFrame, order: int = 5, min_count: int = 2, backoff: float = 0.4, batch_docs: int = 4096) -> DataFrame:
+def score(docs: DataFrame, order: int = 5, min_count: int = 2, backoff: float = 0.4, batch_docs: int = 4096, unit: str = "bytes") -> DataFrame:
     """doc_id, n_symbols, log_prob, mean_log_prob, perplexity for each row of ``docs`` (doc_id, text).
 
-    A stupid-backoff language model over symbols (bytes in 64 classes; A-Z as a-z), order at most 5, learned from all of
-    ``docs``.  Method: n-gram counts are pre-aggregated in every task and summed in a table partitioned by gram hash; the
-    scores of ``ngram_tables`` are joined to the exploded n-grams and summed per document.  Documents are dealt by hash
-    over batches of about ``batch_docs``, and a batch explodes each of its n-grams once, so a frequent n-gram costs a
-    row per batch and not per document.
+    A stupid-backoff language model over symbols, learned from all of ``docs``: the words of a text (``unit`` "words",
+    runs between white space) or its bytes, A-Z as a-z, all others apart.  A symbol's log score is log(count / context
+    count) at the highest order at which its gram occurs ``min_count`` times, plus log(backoff) for each order below; at
+    order 1 every count will do.  A context's count is the sum over its continuations; marks stand before a text's start.
+
+    Method: documents are dealt by hash over batches of about ``batch_docs`` (fewer where texts are long).  A batch sends
+    its distinct grams of every order, known by 64-bit hashes, with their counts to the tasks of their hash ranges, each
+    once; these add the counts up and answer every batch in its order, without hashes.  Scores are summed per document.
 
     Cases: null and empty texts have no symbols, log_prob 0 and null mean_log_prob and perplexity; repeated rows score
     alike; null doc_ids pass through; a very long text is scored whole; extra columns are ignored; an empty table gives
     an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    table = stored(ngram_tables(docs, order, min_count, backoff), "lm-table").select("g", "lp")
-    n = parts(docs.count(), batch_docs)
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    n = max(parts(rows, batch_docs), parts(size or 0, BATCH_BYTES))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("batch"), "doc_id", "text")
-    grams = dealt.groupBy("batch").applyInArrow(_explode(order), "batch long, g long").join(table, "g")
-    summed = dealt.groupBy("batch").cogroup(grams.groupBy("batch")).applyInArrow(_sum(order), "doc_id long, n_symbols long, log_prob double")
+    grams = dealt.groupBy("batch").applyInArrow(_explode(order, unit, n), "batch long, p int, h binary, n binary, m binary")
+    totals = grams.groupBy("p").applyInArrow(_total, "batch long, p int, n binary, m binary")
+    summed = dealt.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_sum(order, unit, n, min_count, backoff), "doc_id long, n_symbols long, log_prob double")
     mean = F.when(F.col("n_symbols") > 0, F.col("log_prob") / F.col("n_symbols"))
     return summed.withColumn("mean_log_prob", mean).withColumn("perplexity", F.exp(-mean))

@@ -29,7 +29,7 @@ def op3_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), order=3, unit="words")
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,25 @@ def test_backoff(spark):
     assert lm_scoring.score(docs(spark, [])).count() == 0
 
 
+def test_word_backoff(spark, tmp_path):
+    texts = ["the cat sat on the mat", "The cat sat down", "кот сидит", "пёс сидит сидит", "the cat sat on the mat", None, " "]
+    docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op4_backoff_scores(spark, str(tmp_path)).collect()}
+    seqs = [["^", "^", "^", *(t or "").lower().split()] for t in texts]
+    count, ctx = Counter(), Counter()
+    for s in seqs:
+        for i in range(3, len(s)):
+            for k in (1, 2, 3):
+                count[tuple(s[i - k + 1 : i + 1])] += 1
+                ctx[k, tuple(s[i - k + 1 : i])] += 1
+    for d, s in enumerate(seqs):
+        want = 0
+        for i in range(3, len(s)):
+            k = next(k for k in (3, 2, 1) if count[tuple(s[i - k + 1 : i + 1])] >= 2 or k == 1)
+            want += np.log(0.4 ** (3 - k) * count[tuple(s[i - k + 1 : i + 1])] / ctx[k, tuple(s[i - k + 1 : i])])
+        assert got[d]["n_symbols"] == len(s) - 3 and got[d]["log_prob"] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("rows", [[], EDGES])
 def test_media(spark, rows):
     out = media.read_features(media.store_texts(docs(spark, rows))).collect()
