@@ -123,8 +123,14 @@ _SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_](?![^\W_])){2,}")
 
 
 def restored_words(text: str, at: list[int], model: CharModel, known: dict[str, str]) -> list[str]:
-    """The restored forms of the disguised words of a lower-case UTF-8 text around byte positions ``at``."""
+    """The restored forms of the disguised words of a lower-case UTF-8 text around byte positions ``at``.
+
+    Every word that holds a position is decoded, and every run of letters spelt singly, each whole and once.
+    """
+    if not at:
+        return []
     raw, out, end = text.encode(), [], -1
+    tokens = [m[0] for m in _SPELT.finditer(text)]
     for p in at:
         if p < end:
             continue
@@ -133,20 +139,15 @@ def restored_words(text: str, at: list[int], model: CharModel, known: dict[str,
             lo -= 1
         while hi < len(raw) and raw[hi] not in b" \t\n\r\v\f" and hi - p < 40:
             hi += 1
-        around = raw[max(0, lo - 8) : hi + 60].decode(errors="ignore")
-        found = _SPELT.search(around)
-        tokens = [raw[lo:hi].decode(errors="ignore").strip(".,;:?!'\"()[]%&#*$")]
-        if found:
-            tokens.append(found[0])
-            hi = max(hi, lo + 2 * len(found[0]))
         end = hi
-        for token in tokens:
-            if len(token) > 1:
-                if token not in known:
-                    if len(known) > WORDS:
-                        known.clear()
-                    known[token] = restore(token, model)
-                out.append(known[token])
+        tokens.append(raw[lo:hi].decode(errors="ignore").strip(".,;:?!'\"()[]%&#*$"))
+    for token in tokens:
+        if len(token) > 1:
+            if token not in known:
+                if len(known) > WORDS:
+                    known.clear()
+                known[token] = restore(token, model)
+            out.append(known[token])
     return out
 
 

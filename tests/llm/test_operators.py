@@ -361,6 +361,14 @@ def test_restore():
     assert not len(toxicity.suspects(b"plain words, 1234 and more!! of% the*** 5 letters" and np.frombuffer(b"plain words, 1234 and more!! of% the*** letters", np.uint8)))
 
 
+def test_every_disguised_word_is_restored():
+    words = ["idiot", "stupid", "loser", "moron", "hello", "good"]
+    m = toxicity.CharModel(Counter(g for w in words * 50 for g in toxicity.CharModel.grams(w)))
+    for text, want in {"1d10t m0r0n l0s3r s t u p i d": {"idiot", "moron", "loser", "stupid"}, "s t u p i d m0r0n": {"stupid", "moron"}, "é s.t.u.p.i.d é l0s3r": {"stupid", "loser"}, " ".join("good" * 25) + " m0r0n": {"good" * 25, "moron"}}.items():
+        at = toxicity.suspects(np.frombuffer(text.encode(), np.uint8)).tolist()
+        assert want <= set(toxicity.restored_words(text, at, m, {}))
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     bad = ["idiot", "scum", "moron"]
