@@ -15,8 +15,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines; a document that loses four fifths of its bytes to earlier ones is a copy and goes."""
-    out = line_dedup.dedup_lines(docs, min_bytes=1).where("share < 0.8").withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    """Removes repeated lines; a document of which only blank lines are left goes, all others stay with what they hold alone."""
+    out = line_dedup.dedup_lines(docs, min_bytes=1).where((F.size("removed") == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -393,6 +393,16 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(df, none).collect()} == {0}
 
 
+def test_line_stage_keeps_what_is_left(spark):
+    import corpus_pipeline
+
+    shared = " ".join(f"shared{i}" for i in range(60))
+    rows = [(1, shared, "en", "a", 9), (2, shared + "\nits own line", "en", "a", 9), (3, shared + "\n \n", "en", "a", 9), (4, "", "en", "a", 0), (5, None, "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    assert got == {1: shared, 2: "its own line", 4: "", 5: None}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
