@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import parts, stored, tidy
+from ._common import maybe_broadcast, parts, stored, tidy
 
 INDEX = "dim int, shard int, vectors binary, members binary, counts binary, graph binary, starts binary"
 #: Vertices at most at which a search begins.
 STARTS = 32
+#: Vectors up to which a shard keeps its given size; beyond, shards grow with the root of their number.
+GROWS = 1 << 20
 FOUND = "query_id long, ids array<long>, scores array<double>"
 
 
@@ -154,79 +156,111 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, shard_rows: int = 8192, degree: int = 32, beam: int = 64, slack: float = 1.2) -> DataFrame:
-    """Rows INDEX, one robust-pruned graph for every shard of about ``shard_rows`` distinct vectors of one length.
+    """Rows INDEX, one robust-pruned graph for every shard of distinct vectors of one length.
 
-    Equal vectors are one vertex, which keeps its k + 1 smallest ids: no query can return more of them.  Those are cut
-    before the shuffle, so a vector that a third of the rows share costs k + 1 rows a task.
+    A shard holds about ``shard_rows`` vectors, and more as their number n grows: ``shard_rows`` times the root of
+    n / GROWS, up to 16 times.  So the shards that each query has to search grow with the root of n up to there.
+
+    Equal vectors are one vertex, which keeps its k + 1 smallest distinct ids: no query can return more of them.  Repeated
+    rows and further ids are cut before the vectors are grouped, so a vector that a third of the rows share costs k + 1
+    rows a task.
     """
-    rows = valid_vectors(vectors, id_col, vec_col)
+    rows = valid_vectors(vectors, id_col, vec_col).select("id", "v", "dim").dropDuplicates(["id", "v"])
     first = Window.partitionBy("v", "dim").orderBy("id")
-    rows = rows.select("id", "v", "dim").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
+    rows = rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
     classes = stored(rows.groupBy("dim", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann-classes")
-    counts = stored(classes.groupBy("dim").agg(F.count("*").alias("n")), "ann-dims")
-    shard = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / shard_rows)).cast("int")
-    classes = classes.join(counts, "dim").select("dim", shard.alias("shard"), "v", "ids")
+    size = shard_rows * F.least(F.greatest(F.sqrt(F.col("n") / GROWS), F.lit(1.0)), F.lit(16.0))
+    counts = stored(classes.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / size).alias("shards")), "ann-dims")
+    classes = classes.join(maybe_broadcast(counts), "dim").select("dim", F.pmod(F.xxhash64("v"), "shards").cast("int").alias("shard"), "v", "ids")
     # a given number of partitions isn't merged: a shard is little data and much work
-    tasks = 4 * (counts.agg(F.sum(F.ceil(F.col("n") / shard_rows))).first()[0] or 1)
-    classes = classes.repartition(int(tasks), "dim", "shard")
+    classes = classes.repartition(_tasks(counts.agg(F.sum("shards")).first()[0]), "dim", "shard")
     return stored(classes.groupBy("dim", "shard").applyInArrow(_build(degree, beam, slack), INDEX), "ann-index")
 
 
+def _tasks(units) -> int:
+    """Partitions for so many units of work: four times as many while they are few, so that hardly two meet."""
+    units = int(units or 1)
+    return max(units, min(4 * units, 4000))
+
+
+def _found(g: Graph, vectors, members, counts, q, k: int, beam: int):
+    """Lists query ids, their nearest ids and scores, of the queries ``q`` (a struct array of id, v) in one shard."""
+    ends = np.cumsum(counts)
+    ids = q.field("id").to_numpy()
+    qv = q.field("v").flatten().to_numpy().reshape(-1, vectors.shape[1])
+    out: list[list] = [[], [], []]
+    for lo in range(0, len(ids), 256):
+        part = qv[lo : lo + 256]
+        scale = np.abs(part).max(axis=1, keepdims=True)
+        wide = np.concatenate([part / scale, np.zeros((len(part), 1))], axis=1).astype(np.float32)
+        found, _ = g.search(wide, beam)
+        for i in range(len(part)):
+            hit = found[i][found[i] >= 0]
+            score = vectors[hit] @ part[i]
+            hit, score = hit[np.argsort(-score, kind="stable")], np.sort(-score, kind="stable")
+            # classes until k rows other than the query's own are certain
+            need = np.searchsorted(np.cumsum(counts[hit]), k + 1) + 1
+            edge = need if need >= len(hit) else int(np.searchsorted(score, score[need - 1], "right"))
+            hit, score = hit[:edge], -score[:edge]
+            rows = np.concatenate([members[ends[h] - counts[h] : ends[h]] for h in hit]) if len(hit) else members[:0]
+            scores = np.repeat(score, counts[hit])
+            other = rows != ids[lo + i]
+            rows, scores = rows[other], scores[other]
+            order = np.lexsort((rows, -scores))[:k]
+            for col, v in zip(out, (ids[lo + i], rows[order].tolist(), scores[order].tolist()), strict=True):
+                col.append(v)
+    return out
+
+
 def _search(k: int, beam: int):
+    """Rows of a shard's index, then blocks of queries: holds one shard and searches it for each block that follows."""
+
     def run(batches):
+        at = None
         for batch in batches:
+            names = {n: i for i, n in enumerate(batch.schema.names)}
             for row in range(len(batch)):
-                value = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
-                dim = value["dim"].as_py()
-                vectors = np.frombuffer(value["vectors"].as_buffer(), "<f8").reshape(-1, dim)
-                members, counts = np.frombuffer(value["members"].as_buffer(), "<i8"), np.frombuffer(value["counts"].as_buffer(), np.int64)
-                ends = np.cumsum(counts)
-                g = Graph(vectors)
-                g.graph = np.frombuffer(value["graph"].as_buffer(), np.int32).reshape(len(vectors), -1)
-                g.starts = np.frombuffer(value["starts"].as_buffer(), np.int64)
-                q = value["q"].values
-                ids = q.field("id").to_numpy()
-                qv = q.field("v").flatten().to_numpy().reshape(-1, dim)
-                out: list[list] = [[], [], []]
-                for lo in range(0, len(ids), 256):
-                    part = qv[lo : lo + 256]
-                    scale = np.abs(part).max(axis=1, keepdims=True)
-                    wide = np.concatenate([part / scale, np.zeros((len(part), 1))], axis=1).astype(np.float32)
-                    found, _ = g.search(wide, beam)
-                    for i in range(len(part)):
-                        hit = found[i][found[i] >= 0]
-                        score = vectors[hit] @ part[i]
-                        hit, score = hit[np.argsort(-score, kind="stable")], np.sort(-score, kind="stable")
-                        # classes until k rows other than the query's own are certain
-                        need = np.searchsorted(np.cumsum(counts[hit]), k + 1) + 1
-                        edge = need if need >= len(hit) else int(np.searchsorted(score, score[need - 1], "right"))
-                        hit, score = hit[:edge], -score[:edge]
-                        rows = np.concatenate([members[ends[h] - counts[h] : ends[h]] for h in hit]) if len(hit) else members[:0]
-                        scores = np.repeat(score, counts[hit])
-                        other = rows != ids[lo + i]
-                        rows, scores = rows[other], scores[other]
-                        order = np.lexsort((rows, -scores))[:k]
-                        for col, v in zip(out, (ids[lo + i], rows[order].tolist(), scores[order].tolist()), strict=True):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
+                value = {n: batch.column(i)[row] for n, i in names.items()}
+                place = value["dim"].as_py(), value["shard"].as_py()
+                if not value["q"].is_valid:
+                    vectors = np.frombuffer(value["vectors"].as_py(), "<f8").reshape(-1, place[0])
+                    members, counts = np.frombuffer(value["members"].as_py(), "<i8"), np.frombuffer(value["counts"].as_py(), np.int64)
+                    g = Graph(vectors)
+                    g.graph = np.frombuffer(value["graph"].as_py(), np.int32).reshape(len(vectors), -1)
+                    g.starts = np.frombuffer(value["starts"].as_py(), np.int64)
+                    at = place
+                elif place == at:  # a hash may have left a shard without vectors
+                    out = _found(g, vectors, members, counts, value["q"].values, k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
 
     return run
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 128, block: int = 1024) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 128, block: int = 1024, each: int = 65_536) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each of ``queries`` (id, v, dim).
 
-    Blocks of queries meet every shard of their length; a beam search in each gives k rows a shard, which are merged.
-    Scores are inner products in double precision of the vectors as given; ties go to the smaller vec_id.
+    Every query searches every shard of its length; a beam search in each gives k rows a shard, which are merged.  The
+    queries travel in blocks of about ``block``; a task holds one shard, read once, and one block at a time.  A shard's
+    index is sent once for every ``each`` queries.  Scores are inner products in double precision of the vectors as given;
+    ties go to the smaller vec_id.  Rows of INDEX and of (id, v, dim) come from ``build_index`` and ``valid_vectors``,
+    which leave out what has no place here; empty tables and queries of a length without vectors give no rows; a query id
+    with several vectors has the nearest of all of them; extra columns are ignored.
     """
-    n = parts(queries.count(), block)
-    blocks = queries.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    blocks = blocks.join(index.select("dim", "shard"), "dim")
-    pairs = index.join(blocks.select("dim", "shard", "q"), ["dim", "shard"])
-    found = pairs.repartition("dim", "shard", F.xxhash64("q")).mapInArrow(tidy(_search(k, beam)), FOUND)
-    rows = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score")).distinct()
+    n = queries.count()
+    subs = parts(n, each)
+    sub = lambda b: F.pmod(b, F.lit(subs)).cast("int").alias("sub")
+    blocks = queries.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(parts(n, block))).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
+    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
+    blocks = blocks.join(maybe_broadcast(stored(shards, "ann-shards")), "dim")
+    blocks = blocks.select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), sub(F.col("b")), "q")
+    graphs = index.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))))
+    both = graphs.unionByName(blocks, allowMissingColumns=True)
+    both = both.repartition(_tasks(index.count() * subs), "dim", "shard", "sub").sortWithinPartitions("dim", "shard", "sub", F.col("q").isNotNull())
+    found = both.mapInArrow(tidy(_search(k, beam)), FOUND)
+    rows = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    top = rows.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
+    return top.dropDuplicates(["query_id", "rank"]).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = 128, **params) -> DataFrame:
