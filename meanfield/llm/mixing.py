@@ -4,120 +4,142 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import maybe_broadcast, stored
+from ._tokens import encoder
 
-#: Blocks of a source at most; beyond, blocks grow.
-MAX_BLOCKS = 65_536
+#: Exponents that one pass over the sources tries, and passes.
+GRID, PASSES = 32, 8
+#: Largest exponent that is tried.
+STEEPEST = 1024
 
 
-def tempered(shares: dict, exponent: float) -> dict:
-    """Weights in proportion to shares ** exponent; a source without tokens has weight 0."""
-    top = max((math.log(v) for v in shares.values() if v > 0), default=0.0)
-    raw = {k: math.exp(exponent * (math.log(v) - top)) if v > 0 else 0.0 for k, v in shares.items()}
-    total = sum(raw.values()) or 1.0
-    return {k: v / total for k, v in raw.items()}
+def token_count(tokenizer: str = "byte_bpe_50k.json"):
+    """A column function: the number of ids of a text; null counts as empty."""
 
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        enc = encoder(tokenizer)
+        return pa.array([len(enc.ids(t.as_py())) for t in texts], pa.int64())
 
-def entropy(weights: dict) -> float:
-    """Shannon entropy in nats."""
-    return -sum(w * math.log(w) for w in weights.values() if w > 0)
+    return count
 
 
-def repeats(tokens: dict, weights: dict, budget: float | None) -> dict:
-    """How often each source is read; budget None: the least that reads every source once."""
-    budget = max((t / weights[k] for k, t in tokens.items() if weights[k] > 0), default=0.0) if budget is None else budget
-    return {k: budget * weights[k] / t if t else 1.0 for k, t in tokens.items()}
+def _sums(sources: DataFrame, top: int, exponents: list[float]) -> list[tuple[float, float]]:
+    """For each exponent x: the sums of q ** x and of q ** x * ln q over the sources (t tokens), q = t / top."""
+    log = F.log(F.col("t") / F.lit(float(top)))
+    cols = [c for x in exponents for c in (F.sum(F.exp(log * x)), F.sum(F.exp(log * x) * log))]
+    row = sources.where("t > 0").agg(*cols).first()
+    return [(row[2 * i], row[2 * i + 1]) for i in range(len(exponents))]
 
 
-def find_exponent(tokens: dict, target_entropy: float | None, max_repeat: float | None, budget: float | None, steps: int = 60) -> float:
-    """Bisects the exponent in [0, 1]: the entropy falls and so do repetitions as it rises.
+def find_exponent(sources: DataFrame, target_entropy: float | None, max_repeat: float | None, budget: float | None) -> float:
+    """The smallest exponent at which the weights have at most ``target_entropy`` nats and no source is read more than ``max_repeat`` times.
 
-    The smallest exponent whose entropy is at most ``target_entropy`` and whose repetitions are at most ``max_repeat``;
-    1 (the natural shares) if none is.
+    sources: (t long), the tokens of each.  budget: tokens of the mixture; None: the least that reads every source once.
+    The entropy falls as the exponent rises.  An interval is searched by bisection, GRID points at a time; a pass is one
+    aggregate over the sources.  An exponent over 1 is steeper than the natural shares.  Raises ValueError if no exponent
+    up to STEEPEST will do.
     """
-    total = sum(tokens.values()) or 1
-    shares = {k: t / total for k, t in tokens.items()}
-
-    def fine(x):
-        w = tempered(shares, x)
-        return (target_entropy is None or entropy(w) <= target_entropy) and (max_repeat is None or max(repeats(tokens, w, budget).values(), default=0) <= max_repeat)
-
-    lo, hi = 0.0, 1.0
-    if fine(lo):
-        return lo
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if fine(mid) else (mid, hi)
-    return hi
-
-
-def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 2.0, budget: float | str | None = "all", tokens: Column | None = None, seed: int = 0, block_rows: int = 1024, max_sources: int = 100_000) -> DataFrame:
+    low, high, total = sources.where("t > 0").agg(F.min("t"), F.max("t"), F.sum("t")).first()
+    if not total:
+        return 0.0
+
+    def entropy(x: float, z: float, s: float) -> bool:
+        return target_entropy is None or math.log(z) - x * s / z <= target_entropy + 1e-12
+
+    def repeat(x: float, z: float, s: float) -> bool:
+        # t tokens are read size * share(t) / t times: the smallest source most often up to x = 1, the largest beyond
+        most, least = (low, high) if x <= 1 else (high, low)
+        share = lambda t: math.exp(x * math.log(t / high)) / z
+        size = budget if budget is not None else least / max(share(least), 1e-300)
+        return max_repeat is None or size * share(most) / most <= max_repeat * (1 + 1e-12)
+
+    def smallest(fine) -> float:
+        tried = [0.0, 1.0, *(float(2**i) for i in range(1, STEEPEST.bit_length()))]
+        good = [fine(x, *zs) for x, zs in zip(tried, _sums(sources, high, tried), strict=True)]
+        if not any(good):
+            return math.inf
+        first = good.index(True)
+        if not first:
+            return 0.0
+        lo, hi = tried[first - 1], tried[first]
+        for _ in range(PASSES):
+            points = [lo + (hi - lo) * i / (GRID + 1) for i in range(1, GRID + 1)]
+            good = [*(fine(x, *zs) for x, zs in zip(points, _sums(sources, high, points), strict=True)), True]
+            points = [lo, *points, hi]
+            lo, hi = points[good.index(True)], points[good.index(True) + 1]
+        return hi
+
+    x = max(smallest(entropy), smallest(repeat))
+    if x == math.inf or not (entropy(x, *(zs := _sums(sources, high, [x])[0])) and repeat(x, *zs)):
+        raise ValueError(f"no exponent up to {STEEPEST} gives at most {target_entropy} nats and {max_repeat} readings of a source")
+    return x
+
+
+def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 2.0, budget: float | str | None = "all", tokens: Column | None = None, tokenizer: str = "byte_bpe_50k.json", seed: int = 0, block_rows: int = 1024) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with rows repeated or left out to meet temperature weights.
 
-    Source token shares are raised to an exponent in [0, 1], found by bisection: the flattest mixture with at most
-    ``target_entropy`` nats and at most ``max_repeat`` readings of any source.  budget: tokens of the mixture, "all" for
-    as many as ``docs`` has, "cover" for the least that reads every source at least once, so that no document is lost.
+    Source token shares are raised to an exponent, found by bisection: the flattest mixture with at most
+    ``target_entropy`` nats and at most ``max_repeat`` readings of any source; ValueError if there is none.  budget:
+    tokens of the mixture, "all" for as many as ``docs`` has, "cover" for the least that reads every source at least
+    once, so that no document is lost.  tokens: another count than that of the ids of ``tokenizer``.
 
     The weights are realised by budgeted block permutations: rows are dealt over blocks of about ``block_rows`` by hash.
     A source's whole readings take every row; its last, partial reading takes blocks in the order of that reading's
     permutation until the budget is met, and of the block in which that happens, rows in hash order.  So a source's plan
-    is a few numbers, a hot source needs no sort, and a row knows its copies by itself.
+    is a few numbers, a hot source needs no sort of its rows, and a row knows its copies by itself.  Sources are a table
+    like any other: their number isn't limited and they don't pass the driver.
 
     New columns: epoch int (from 0, one row for each copy), mix_key double (rising order interleaves the sources in
-    proportion, each reading in its own block order), tokens long (by default the words of the text).  They replace
-    columns of the same name.  Cases: null source is a source of its own; null and empty texts have no tokens and follow
-    their block; repeated rows are taken or left alike; more than ``max_sources`` sources raise ValueError; an empty
-    table gives an empty result.
+    proportion, each reading in its own block order), tokens long.  They replace columns of the same name; all others,
+    whatever their names, pass through.  Cases: null source is a source of its own; null and empty texts have no tokens
+    and follow their block; a source without tokens is read once; repeated rows are taken or left alike; an empty table
+    gives an empty result.
     """
     docs = docs.drop("epoch", "mix_key", "tokens")
-    count = tokens if tokens is not None else F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    count = tokens if tokens is not None else token_count(tokenizer)(F.col("text").cast("string"))
     u = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")
-    slim = stored(docs.select("source", u.alias("_u"), count.cast("long").alias("tokens")), "mix-slim")
-    stats = slim.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).limit(max_sources + 1).collect()
-    if len(stats) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    have = {r["source"]: r["t"] or 0 for r in stats}
-    total = sum(have.values())
-    want = None if budget == "cover" else float(total if budget in (None, "all") else budget)
-    x = find_exponent(have, target_entropy, max_repeat, want)
-    reads = repeats(have, tempered({k: t / (total or 1) for k, t in have.items()}, x), want)
-    spark = docs.sparkSession
-    rows = []
-    for r in stats:
-        e = reads[r["source"]]
-        whole = int(math.floor(e + 1e-9))
-        rows.append((r["source"], whole, max(0.0, e - whole) * have[r["source"]], float(e), min(MAX_BLOCKS, -(-r["n"] // block_rows))))
-    kind = docs.schema["source"].dataType.simpleString()
-    plan = spark.createDataFrame(rows, f"_source {kind}, _whole int, _need double, _reads double, _blocks int")
+    # the row as it came is one column, so that names in it can't clash with those below
+    rows = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").alias("s"), u.alias("u"), count.cast("long").alias("tokens")), "mix-rows")
+    sources = stored(rows.groupBy("s").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")), "mix-sources")
+    high, total = sources.agg(F.max("t"), F.sum("t")).first()
+    want = None if budget == "cover" else float((total or 0) if budget in (None, "all") else budget)
+    x = find_exponent(sources, target_entropy, max_repeat, want)
+    # tokens a source is given in proportion to its weight; "cover" scales them so that the least read source is read once
+    weight = F.when(F.col("t") > 0, F.exp(F.log(F.col("t") / F.lit(float(high or 1))) * x)).otherwise(0.0)
+    weights = sources.withColumn("w", weight)
+    z, cover = weights.agg(F.sum("w"), F.max(F.when(F.col("t") > 0, F.col("t") / F.col("w")))).first()
+    scale = (cover or 0.0) if want is None else want / (z or 1.0)
+    plan = weights.withColumn("reads", F.when(F.col("t") > 0, F.col("w") * F.lit(float(scale)) / F.col("t")).otherwise(1.0))
+    plan = plan.withColumn("whole", F.floor(F.col("reads") + 1e-9).cast("int"))
+    plan = plan.select(F.col("s").alias("source"), "reads", "whole", (F.greatest(F.col("reads") - F.col("whole"), F.lit(0.0)) * F.col("t")).alias("need"), F.ceil(F.col("n") / block_rows).alias("blocks"))
+    plan = maybe_broadcast(stored(plan, "mix-plan"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
 
     def order(epoch, block):
         """Place in [0, 1) of a block in the permutation of a reading."""
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col("_source"), epoch.cast("int"), block.cast("int")), 11) / F.lit(float(1 << 53))
-
-    def planned(df):
-        df = df.join(F.broadcast(plan), df["source"].eqNullSafe(plan["_source"]))  # at most max_sources rows
-        return df.withColumn("_block", F.pmod(F.col("_u"), F.col("_blocks")))
-
-    blocks = planned(slim).where("_need > 0").groupBy("_source", "_whole", "_need", "_block").agg(F.sum("tokens").alias("t"))
-    blocks = blocks.withColumn("_at", order(F.col("_whole"), F.col("_block")))
-    run = Window.partitionBy("_source").orderBy("_at", "_block")
-    blocks = blocks.withColumn("_to", F.sum("t").over(run))
-    last = blocks.where("_to > _need and _to - t <= _need").groupBy("_source").agg(F.min(F.struct("_at", "_block", (F.col("_need") - F.col("_to") + F.col("t")).alias("left"))).alias("b"))
-    last = stored(last.select(F.col("_source").alias("_s"), "b._at", F.col("b._block").alias("_last"), "b.left"), "mix-last")
-    inside = planned(slim).join(F.broadcast(last), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_last")))
-    inside = inside.groupBy("_s", "left", "_u").agg(F.sum("tokens").alias("t"))
-    inside = inside.withColumn("_to", F.sum("t").over(Window.partitionBy("_s").orderBy("_u")))
-    cut = stored(inside.where("_to <= left").groupBy("_s").agg(F.max("_u").alias("_cut")), "mix-cut").withColumnRenamed("_s", "_c")
-    last = last.join(F.broadcast(cut), F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c")
-
-    out = planned(docs.withColumn("_u", u).withColumn("tokens", count.cast("long")))
-    out = out.join(F.broadcast(last), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    at = order(F.col("_whole"), F.col("_block"))
-    more = (F.col("_need") > 0) & (F.col("_last").isNull() | (at < F.col("_at")) | ((F.col("_block") == F.col("_last")) & (F.col("_u") <= F.col("_cut"))))
-    copies = F.col("_whole") + F.coalesce(more, F.lit(False)).cast("int")
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col("s"), epoch.cast("int"), block.cast("int")), 11) / F.lit(float(1 << 53))
+
+    planned = rows.join(plan, same("s", "source")).drop("source").withColumn("block", F.pmod(F.col("u"), F.col("blocks")))
+    blocks = planned.where("need > 0").groupBy("s", "whole", "need", "block").agg(F.sum("tokens").alias("t"))
+    blocks = blocks.withColumn("at", order(F.col("whole"), F.col("block")))
+    blocks = blocks.withColumn("to", F.sum("t").over(Window.partitionBy("s").orderBy("at", "block")))
+    last = blocks.where("to > need and to - t <= need").groupBy("s").agg(F.min(F.struct("at", "block", (F.col("need") - F.col("to") + F.col("t")).alias("left"))).alias("b"))
+    last = stored(last.select(F.col("s").alias("source"), F.col("b.at").alias("last_at"), F.col("b.block").alias("last"), "b.left"), "mix-last")
+    inside = planned.select("s", "u", "tokens", "block").join(maybe_broadcast(last), same("s", "source") & (F.col("block") == F.col("last")))
+    inside = inside.groupBy("s", "left", "u").agg(F.sum("tokens").alias("t"))
+    inside = inside.withColumn("to", F.sum("t").over(Window.partitionBy("s").orderBy("u")))
+    cut = stored(inside.where("to <= left").groupBy("s").agg(F.max("u").alias("cut")), "mix-cut")
+    last = last.join(maybe_broadcast(cut), same("source", "s"), "left").select("source", "last_at", "last", "cut")
+
+    out = planned.join(maybe_broadcast(last), same("s", "source"), "left")
+    at = order(F.col("whole"), F.col("block"))
+    more = (F.col("need") > 0) & (F.col("last").isNull() | (at < F.col("last_at")) | ((F.col("block") == F.col("last")) & (F.col("u") <= F.col("cut"))))
+    copies = F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")
     out = out.withColumn("epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1))))
-    out = out.withColumn("mix_key", (F.col("epoch") + order(F.col("epoch"), F.col("_block"))) / F.greatest("_reads", F.lit(1e-12)))
-    return out.select(*docs.columns, "epoch", "mix_key", "tokens")
+    out = out.withColumn("mix_key", (F.col("epoch") + order(F.col("epoch"), F.col("block"))) / F.greatest("reads", F.lit(1e-12)))
+    return out.select("row.*", "epoch", "mix_key", "tokens")
