@@ -38,7 +38,7 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_features(media.store_texts(_table(spark, sf_dir, "documents")))
+    return media.read_features(stored(media.store_texts(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
