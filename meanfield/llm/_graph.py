@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, stored
+from ._common import discard, parts
+from ._common import stored as written
+
+#: Tasks that write a small table, and links for each task of a larger one.
+TASKS, PART_LINKS = 8, 50_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,6 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     reversed links are harmless; an empty table gives an empty table.
     """
     ends = links.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    tasks = max(TASKS, parts(ends.count(), PART_LINKS))
+    stored = lambda df, name: written(df.coalesce(tasks), name)
     ids = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     parent = stored(ids.select("id", F.col("id").alias("p")), "uf-parent")
     edge = stored(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "uf-edge")

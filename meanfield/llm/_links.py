@@ -9,13 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parts, stored, tidy
+from ._common import discard, maybe_broadcast, parts, stored, tidy
 from ._graph import components
+from ._text import mix64
 
 FAR = np.int64(1 << 40)
 EDGE = "a long, b long"
 #: Ids whose band keys one task deals with.
 PART_IDS = 200_000
+#: Share of all ids from which a key's entries are spread over tasks before they are grouped.
+HOT_SHARE = 1e-4
+#: Tasks that write a small table, and rows that one of more tasks writes.
+TASKS, PART_ROWS = 8, 50_000
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -38,8 +43,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
         yield rest
 
 
-def _deal(count: int):
-    """Rows (p, x): the (key, id) entries of each part p as bytes, so that single keys are never rows."""
+def _deal(count: int, hot: np.ndarray):
+    """Rows (p, x): the (key, id) entries of each part p as bytes, so that single keys are never rows.
+
+    Entries of the keys in ``hot`` (rising) are spread over all parts by id, those of another key meet in one part.
+    """
 
     def run(batches):
         for batch in batches:
@@ -48,7 +56,8 @@ def _deal(count: int):
             if not len(keys):
                 continue
             entry = np.stack([keys, np.repeat(ids, np.diff(bands.offsets.to_numpy()))], 1)
-            part = (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(count)
+            place = np.where(_is_in(keys, hot), mix64(entry[:, 1].view(np.uint64) ^ keys.view(np.uint64)), keys.view(np.uint64))
+            part = (place >> np.uint64(20)) % np.uint64(count)
             order = np.argsort(part, kind="stable")
             entry, ends = entry[order], np.cumsum(np.bincount(part.astype(np.int64), minlength=count))
             full = np.flatnonzero(np.diff(np.concatenate([[0], ends])))
@@ -58,8 +67,14 @@ def _deal(count: int):
     return run
 
 
-def _shared(batches):
-    """Rows (key, id, m, first) of keys with several ids: m of them, the smallest is ``first``."""
+def _is_in(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    if not len(rising):
+        return np.zeros(len(values), bool)
+    return rising[np.minimum(np.searchsorted(rising, values), len(rising) - 1)] == values
+
+
+def _shared(hot: np.ndarray):
+    """Rows (key, id, m, first) of keys with several ids in a part: m of them, the smallest is ``first``; all rows of hot keys."""
 
     def out(chunks):
         e = np.frombuffer(b"".join(chunks), np.int64).reshape(-1, 2)
@@ -69,29 +84,47 @@ def _shared(batches):
         e = e[new]
         start = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]]))
         m = np.diff(np.concatenate([start, [len(e)]]))
-        keep = np.repeat(m > 1, m)
-        first = np.repeat(e[start, 1], m)
-        return pa.RecordBatch.from_arrays([pa.array(e[keep, 0]), pa.array(e[keep, 1]), pa.array(np.repeat(m, m)[keep]), pa.array(first[keep])], ["key", "id", "m", "first"])
+        keep = np.repeat((m > 1) | _is_in(e[start, 0], hot), m)
+        return pa.RecordBatch.from_arrays([pa.array(e[keep, 0]), pa.array(e[keep, 1]), pa.array(np.repeat(m, m)[keep])], ["key", "id", "m"])
 
-    now, chunks = None, []
-    for batch in batches:
-        for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if p != now and chunks:
-                yield out(chunks)
-                chunks = []
-            now = p
-            chunks.append(x.as_buffer())
-    if chunks:
-        yield out(chunks)
+    def run(batches):
+        now, chunks = None, []
+        for batch in batches:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if p != now and chunks:
+                    yield out(chunks)
+                    chunks = []
+                now = p
+                chunks.append(x.as_buffer())
+        if chunks:
+            yield out(chunks)
+
+    return run
+
+
+def _hot_keys(sigs: DataFrame, rows: int) -> np.ndarray:
+    """Keys that a share of about ``HOT_SHARE`` of all ids have, found in one of 64 ids by hash: 1 / HOT_SHARE a band at most.
+
+    A key that is missed, or found in vain, is dealt with in another way and to the same result.
+    """
+    some = sigs.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(64)) == 0).select("id", "bands").dropDuplicates(["id"])
+    least = max(64, int(rows / 64 * HOT_SHARE))
+    found = some.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["key"] for r in found.collect()], np.int64))
 
 
 def _arrays(table: pa.Table):
     ids = table["id"].to_numpy()
     raw = b"".join(table["sketch"].to_pylist())
     sketch = np.frombuffer(raw, np.uint64).reshape(len(ids), -1)
+    cut = _cuts(table)
+    return ids, sketch, np.array([0, *cut]), np.array([*cut, len(ids)])
+
+
+def _cuts(table: pa.Table) -> list[int]:
+    """Where a new (key, sub) begins, but for the first."""
     key, sub = table["key"].to_numpy(), table["sub"].to_numpy()
-    cut = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1
-    return ids, sketch, np.concatenate([[0], cut]), np.concatenate([cut, [len(ids)]])
+    return (np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1).tolist()
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -119,7 +152,7 @@ def _forest(d: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _first_edges(limit: int):
-    """Round 1: the spanning forest of likely links of every block."""
+    """The spanning forest of likely links of every block."""
 
     def run(batches):
         for table in _grouped(batches, ("key", "sub")):
@@ -146,6 +179,31 @@ def _first_edges(limit: int):
     return run
 
 
+def _partners(limit: int):
+    """Rows (key, sub, id, c) of those ids that a likely link joins to another component in their pair of blocks.
+
+    A pair of ids that share several keys counts in the first of their bands only.
+    """
+
+    def run(batches):
+        for table in _grouped(batches, ("key", "sub")):
+            ids, sketch, lo, hi = _arrays(table)
+            comp, key = table["c"].to_numpy(), table["key"].to_numpy()
+            bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            some = np.zeros(len(ids), bool)
+            for s, e in zip(lo.tolist(), hi.tolist(), strict=True):
+                i, j = np.nonzero(np.triu(_apart(sketch[s:e], sketch[s:e]) <= limit, 1) & (comp[s:e, None] != comp[None, s:e]))
+                for k in range(0, len(i), 1 << 16):
+                    x, y = i[k : k + (1 << 16)] + s, j[k : k + (1 << 16)] + s
+                    same = bands[x] == bands[y]
+                    own = bands[x, same.argmax(axis=1)] == key[s]
+                    some[x[own]] = some[y[own]] = True
+            if some.any():
+                yield from table.select(["key", "sub", "id", "c"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    return run
+
+
 def hash_runs(values: list[bytes]) -> list[np.ndarray]:
     """Sets stored as runs of rising 64-bit hashes."""
     return [np.frombuffer(x, np.uint64) for x in values]
@@ -194,9 +252,8 @@ def _block_links(percent: int, expand):
     def run(batches):
         for table in _grouped(batches, ("key", "sub")):
             ids, comp = table["id"].to_numpy(), table["c"].to_numpy()
-            key, sub = table["key"].to_numpy(), table["sub"].to_numpy()
             raw = table["s"].to_pylist()
-            cut = (np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1).tolist()
+            cut = _cuts(table)
             a, b = [], []
             for s, e in zip([0, *cut], [*cut, len(ids)], strict=True):
                 sets = expand(raw[s:e])
@@ -223,7 +280,7 @@ def _block_links(percent: int, expand):
     return run
 
 
-def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[DataFrame], DataFrame], expand: Callable[[list[bytes]], list[np.ndarray]] = hash_runs, block: int = 512) -> DataFrame:
+def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[DataFrame], DataFrame], expand: Callable[[list[bytes]], list[np.ndarray]] = hash_runs, block: int = 256) -> DataFrame:
     """(id, component) of the ids in components of two or more.
 
     sigs: id long, bands array<long>, sketch binary; rows of one id are equal.  fetch: (id) -> (id, s), s the set in a
@@ -232,49 +289,78 @@ def link_components(sigs: DataFrame, limit: int, percent: int, fetch: Callable[[
 
     1. Each key's candidates give a spanning forest, most similar first, whose edges are checked on full sets: a group
        of m copies costs about m checks and not m * m / 2.  A key of over ``block`` ids is dealt over blocks.
-    2. All forest edges, confirmed or not, give clusters that hold every candidate pair; the ids of a key of several
-       blocks go to one cluster.  Clusters of one component are done.
-    3. In every other cluster, blocks of ids outside its largest component meet each other and the blocks of that
-       component, by pairs of blocks, and every pair is compared exactly.  Only links that join components leave a block.
+    2. Keys whose ids are in one component are done.  In every other key, blocks of ids outside its largest component meet
+       each other and the blocks of that component, by pairs of blocks.  Sketches tell which ids have a likely link to
+       another component there; these are compared exactly, and only links that join components leave a block.
 
     So no candidate pair that could join two components stays unchecked, no cap drops one, and a task holds two blocks.
+    Keys that very many ids share are found in a sample and their entries spread before they are grouped.
     """
-    count = max(int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(sigs.count(), PART_IDS))
-    shared = sigs.select("id", "bands").mapInArrow(tidy(_deal(count)), "p int, x binary").repartition(count, "p").sortWithinPartitions("p")
-    shared = stored(shared.mapInArrow(tidy(_shared), "key long, id long, m long, first long"), "links-shared")
-    sketch = sigs.select("id", "sketch").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    cand = stored(shared.join(sketch, "id"), "links-cand")
+    tables: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        tables.append(stored(df, name))
+        return tables[-1]
+
+    try:
+        return _linked(sigs, limit, percent, fetch, expand, block, keep)
+    finally:
+        for table in tables:
+            discard(table)
+
+
+def _linked(sigs, limit, percent, fetch, expand, block, keep) -> DataFrame:
+    """What ``link_components`` returns; ``keep`` writes a table that is deleted afterwards."""
+    rows = sigs.count()
+    hot = _hot_keys(sigs, rows)
+    count = max(int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(rows, PART_IDS))
+    shared = sigs.select("id", "bands").mapInArrow(tidy(_deal(count, hot)), "p int, x binary").repartition(count, "p").sortWithinPartitions("p")
+    shared = keep(shared.mapInArrow(tidy(_shared(hot)), "key long, id long, m long"), "links-shared")
+    few = lambda df, n: df.coalesce(max(TASKS, parts(n, PART_ROWS)))
+    if len(hot):
+        wide = shared.sparkSession.createDataFrame([(int(k),) for k in hot], "key long")
+        wide = shared.join(F.broadcast(wide), "key").groupBy("key").agg(F.count("*").alias("all"))
+        shared = shared.join(F.broadcast(wide), "key", "left").select("key", "id", F.coalesce("all", "m").alias("m")).where("m > 1")
+    n = shared.count()
+    if not n:
+        return components(shared.select(F.col("key").alias("a"), F.col("id").alias("b")))
+    one = sigs.select("id", "bands", "sketch").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    one = keep(few(one, n), "links-sketch")
+    cand = keep(few(shared.join(one.select("id", "sketch"), "id"), n), "links-cand")
     dealt = cand.withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)).cast("int")).select("key", "sub", "id", "sketch")
     edges = dealt.repartition("key", "sub").sortWithinPartitions("key", "sub", "id").mapInArrow(tidy(_first_edges(limit)), EDGE)
-    edges = stored(edges.distinct(), "links-edges")
+    edges = keep(few(edges.distinct(), n), "links-edges")
 
-    need = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "links-need")
-    sets = stored(fetch(need), "links-set")
+    need = keep(few(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n), "links-need")
+    sets = keep(fetch(need), "links-set")
     pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    checked = pairs.select("a", "b", "sa", "sb").mapInArrow(tidy(_confirm(percent, expand)), "a long, b long, ok boolean")
-    checked = stored(checked.groupBy("a", "b").agg(F.max("ok").alias("ok")), "links-checked")
-    good = checked.where("ok").select("a", "b")
-
-    wide = cand.where(F.col("m") > block).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    narrow = wide.isEmpty()
-    if narrow and checked.where("not ok").isEmpty():
-        return components(good)
+    good = pairs.select("a", "b", "sa", "sb").mapInArrow(tidy(_confirm(percent, expand)), "a long, b long, ok boolean").where("ok").select("a", "b")
+    good = keep(few(good, n), "links-good")
     comp = components(good)
-    clusters = components(checked.select("a", "b").unionByName(wide)).select("id", F.col("component").alias("key"))
-    rows = stored(clusters.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "links-cluster")
+
+    rows = cand.where("m > 2").drop("sketch").join(maybe_broadcast(comp), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    rows = keep(few(rows, n), "links-rows")
+    several = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    rows = keep(few(rows.join(maybe_broadcast(keep(few(several, n), "links-keys")), "key"), n), "links-several")
+    if rows.isEmpty():
+        return comp
     per = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
-    keys = per.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("k"), F.max(F.struct("n", "c")).alias("top")).where("parts > 1")
-    rows = rows.join(keys.select("key", F.col("top.c").alias("major"), F.ceil(F.col("top.n") / block).cast("int").alias("nb"), F.ceil((F.col("k") - F.col("top.n")) / block).cast("int").alias("nm")), "key")
+    keys = per.groupBy("key").agg(F.sum("n").alias("k"), F.max(F.struct("n", "c")).alias("top"))
+    keys = keys.select("key", "k", F.col("top.c").alias("major"), F.ceil(F.col("top.n") / block).alias("nb"), F.ceil((F.col("k") - F.col("top.n")) / block).alias("nm"))
+    rows = rows.join(maybe_broadcast(keep(few(keys, n), "links-keys")), "key")
     # blocks of the largest component are numbered from 0, the others from nb; a pair of blocks is one number
-    inside = F.col("c") == F.col("major")
-    own = F.when(inside, F.pmod(F.xxhash64("id"), F.col("nb"))).otherwise(F.col("nb") + F.pmod(F.xxhash64("id"), F.col("nm"))).cast("long")
-    total = (F.col("nb") + F.col("nm")).cast("long")
-    met = F.when(inside, F.sequence(F.col("nb").cast("long"), total - 1)).otherwise(F.sequence(F.lit(0).cast("long"), total - 1))
-    rows = rows.select("key", "id", "c", own.alias("own"), met.alias("met"), total.alias("total"))
-    rows = rows.select("key", "id", "c", F.explode(F.transform("met", lambda x: F.least("own", x) * F.col("total") + F.greatest("own", x))).alias("sub"))
-    rows = stored(rows, "links-blocks")
-    if not narrow:  # ids of a key of several blocks may have no edge yet
-        sets = sets.unionByName(stored(fetch(rows.select("id").distinct().join(need, "id", "left_anti")), "links-set"))
+    inside, total = F.col("c") == F.col("major"), F.col("nb") + F.col("nm")
+    own = F.when(inside, F.pmod(F.xxhash64("id"), F.col("nb"))).otherwise(F.col("nb") + F.pmod(F.xxhash64("id"), F.col("nm")))
+    met = F.when(inside, F.sequence(F.col("nb"), total - 1)).otherwise(F.sequence(F.lit(0).cast("long"), total - 1))
+    rows = rows.select("key", "id", "c", "k", own.alias("own"), total.alias("total"), met.alias("met"))
+    rows = rows.select("key", "id", "c", F.explode(F.when(F.col("k") <= block, F.array(F.lit(0).cast("long"))).otherwise(F.transform("met", lambda x: F.least("own", x) * F.col("total") + F.greatest("own", x)))).alias("sub"))
+    blocks = rows.join(one, "id").select("key", "sub", "id", "c", "bands", "sketch").repartition("key", "sub").sortWithinPartitions("key", "sub", "id")
+    rows = keep(blocks.mapInArrow(tidy(_partners(limit)), "key long, sub long, id long, c long"), "links-partners")
+    if rows.isEmpty():
+        return comp
+    late = keep(few(rows.select("id").distinct().join(need, "id", "left_anti"), n), "links-late")
+    if not late.isEmpty():  # ids without an edge yet
+        sets = sets.unionByName(keep(fetch(late), "links-set"))
     blocks = rows.join(sets, "id").select("key", "sub", "id", "c", "s").repartition("key", "sub").sortWithinPartitions("key", "sub", "id")
-    more = stored(blocks.mapInArrow(tidy(_block_links(percent, expand)), EDGE), "links-more")
+    more = keep(blocks.mapInArrow(tidy(_block_links(percent, expand)), EDGE).distinct(), "links-more")
     return comp if more.isEmpty() else components(good.unionByName(more))

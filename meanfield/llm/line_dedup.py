@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_rows, list_column, maybe_broadcast, spans, stored, text_buffer, tidy
+from ._common import binary_rows, discard, list_column, maybe_broadcast, spans, stored, text_buffer, tidy
 from ._links import link_components
 from ._text import _SPACE, band_keys, char_shingles, minhash, odd_sketch, permutations, xor_limit
 
 CHUNK = 2 << 20
-LINE = "doc_id long, th long, line_no int, id long, bands array<long>, sketch binary"
+LINE = "doc_id long, th long, line_no int, id long, more long, bands array<long>, sketch binary"
+#: Place of a null doc_id in the order of documents: last.
+LAST = 2**63 - 1
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
@@ -33,8 +36,11 @@ def _trimmed(data, starts, ends):
     return np.where(full, inside[lo], starts), np.where(full, inside[hi - 1] + 1, starts)
 
 
-def _line_ids(data, starts, ends):
-    return char_shingles(data, starts, ends, 1 << 40)[0].view(np.int64)
+def _line_prints(data, starts, ends) -> np.ndarray:
+    """A 128-bit print of each line (lines x 2, int64)."""
+    raw = data.tobytes()
+    digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def _line_rows(min_bytes: int, size: int, bands: int, rows: int, bits: int):
@@ -43,7 +49,7 @@ def _line_rows(min_bytes: int, size: int, bands: int, rows: int, bits: int):
         seen: dict[int, None] = {}
         for batch in batches:
             data, offs = text_buffer(batch.column(2))
-            docs, prints = batch.column(0).cast(pa.int64()), batch.column(1)
+            docs, hashes = batch.column(0), batch.column(1)
             for i, j in spans(offs, CHUNK):
                 part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 starts, ends, row, number = _lines(part, at)
@@ -51,7 +57,8 @@ def _line_rows(min_bytes: int, size: int, bands: int, rows: int, bits: int):
                 starts, ends = _trimmed(part, starts, ends)
                 use &= ends > starts
                 starts, ends, row, number = starts[use], ends[use], row[use], number[use]
-                ids = _line_ids(part, starts, ends)
+                prints = _line_prints(part, starts, ends)
+                ids = prints[:, 0]
                 # lines lately seen in this task need no second signature, and a line of one short shingle equals no other
                 fresh = np.zeros(len(ids), bool)
                 long = (ends - starts >= size).tolist()
@@ -65,8 +72,8 @@ def _line_rows(min_bytes: int, size: int, bands: int, rows: int, bits: int):
                 keys = band_keys(sig, bands, rows)
                 sketch = np.zeros((len(ids), bits // 64), np.uint64)
                 sketch[fresh] = odd_sketch(sig, bits)
-                cols = [docs.take(pa.array(row + i)), prints.take(pa.array(row + i)), pa.array(number.astype(np.int32)), pa.array(ids), list_column(keys.ravel(), fresh * bands, pa.int64()), binary_rows(sketch)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "line_no", "id", "bands", "sketch"])
+                cols = [docs.take(pa.array(row + i)), hashes.take(pa.array(row + i)), pa.array(number.astype(np.int32)), pa.array(ids), pa.array(prints[:, 1]), list_column(keys.ravel(), fresh * bands, pa.int64()), binary_rows(sketch)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "line_no", "id", "more", "bands", "sketch"])
 
     return run
 
@@ -100,7 +107,7 @@ def _line_sets(size: int):
     return expand
 
 
-def dedup_lines(docs: DataFrame, min_bytes: int = 80, shingle: int = 9, percent: int = 85, bands: int = 10, rows: int = 4, bits: int = 128) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_bytes: int = 1, shingle: int = 9, percent: int = 85, bands: int = 10, rows: int = 4, bits: int = 128) -> DataFrame:
     """``docs`` (doc_id, text, ...) with lines removed that repeat an earlier line, and n_lines, removed, share.
 
     Lines end at a line feed; blank lines and lines of under ``min_bytes`` UTF-8 bytes take no part and always stay (1: every
@@ -111,43 +118,57 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 80, shingle: int = 9, percent:
 
     Method: MinHash signatures over character shingles, ``bands`` bands of ``rows`` values (a pair at 0.85 is found with
     a chance of 1 - (1 - 0.85 ** 4) ** 10 = 0.9994), exact Jaccard checks on the full sets, and distributed union-find.
-    Equal lines are one vertex, known by a 64-bit hash.  A line in a very large document is read whole.
+    Equal lines are one vertex, known by a 128-bit print of which the first half is its id; should other lines have the
+    same half, all but one of them take the second half instead.  A line in a very large document is read whole.
 
     n_lines: lines of the text; removed: numbers (from 0, rising) of those removed, never null; share: bytes of removed
     lines over bytes of the text.  Cases: null and empty text stay as they are; repeated rows (equal doc_id and text)
-    are one document and stay alike; a null doc_id sorts first; other columns pass through, except that n_lines, removed
-    and share are replaced; an empty table gives an empty result.
+    are one document and stay alike; a null doc_id sorts last; other columns, whatever their names, pass through, except
+    that n_lines, removed and share are replaced; an empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "removed", "share")
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")]
+    # the row as it came is one column, so that names in it can't clash with those below
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), F.col("text").cast("string").alias("text")]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key)
     slim = docs.select(*key)
     lines = stored(slim.mapInArrow(tidy(_line_rows(min_bytes, shingle, bands, rows, bits)), LINE), "line-sig")
+    classes = stored(lines.groupBy("id", "more").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"), F.count("*").alias("n")), "line-class")
+    tables = [lines, classes]
+    clash = stored(classes.groupBy("id").agg(F.min("more").alias("least"), F.count("*").alias("k")).where("k > 1").select("id", "least"), "line-clash")
+    if not clash.isEmpty():
+
+        def apart(df: DataFrame) -> DataFrame:
+            df = df.join(maybe_broadcast(clash), "id", "left")
+            return df.withColumn("id", F.when(F.col("more") == F.col("least"), F.col("id")).otherwise(F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("more")))).drop("least")
+
+        lines, classes = apart(lines), apart(classes)
     sigs = lines.where(F.size("bands") > 0).select("id", "bands", "sketch")
-    places = lines.select("doc_id", "th", "line_no", "id")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        ids = maybe_broadcast(stored(ids, "line-need"))
-        first = places.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"))
-        want = first.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.line_no", "id")).alias("want"))
-        want = maybe_broadcast(stored(want, "line-want"), items="want")
+        want = classes.join(maybe_broadcast(ids), "id", "left_semi").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.line_no", "id")).alias("want"))
+        tables.append(stored(want, "line-want"))
+        want = maybe_broadcast(tables[-1], items="want")
         return slim.join(want, ["doc_id", "th"]).select("text", "want").mapInArrow(tidy(_wanted), "id long, s binary")
 
     comp = link_components(sigs, xor_limit(bands * rows, bits, percent / 100), percent, fetch, _line_sets(shingle))
-    places = places.join(maybe_broadcast(comp), "id", "left").select("doc_id", "th", "line_no", F.coalesce("component", "id").alias("cls"))
-    first = places.groupBy("cls").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"), F.count("*").alias("n")).where("n > 1").select("cls", "at")
-    gone = places.join(maybe_broadcast(stored(first, "line-first")), "cls").where(F.struct("doc_id", "th", "line_no") != F.col("at"))
+    linked = classes.join(maybe_broadcast(comp), "id").select("id", "at", "component")
+    first = maybe_broadcast(stored(linked.groupBy("component").agg(F.min("at").alias("first")), "line-first"))
+    stays = linked.join(first, "component").select("id", F.col("first").alias("at"))
+    stays = stored(stays.unionByName(classes.where("n > 1").join(maybe_broadcast(comp.select("id")), "id", "left_anti").select("id", "at")), "line-stays")
+    gone = lines.select("doc_id", "th", "line_no", "id").join(maybe_broadcast(stays), "id").where(F.struct("doc_id", "th", "line_no") != F.col("at"))
     gone = stored(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "line-gone")
-    gone = maybe_broadcast(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("gone").alias("_gone")), items="_gone")
+    for table in (*tables, stays):
+        discard(table)
 
-    tagged = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64("text"))
-    out = tagged.join(gone, (F.col("_id") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+    out = whole.join(maybe_broadcast(gone, items="gone"), ["doc_id", "th"], "left")
     split = F.split("text", "\n", -1)
-    rest = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
     kept = F.array_join(F.transform(rest, lambda i: F.get(split, i)), "\n")
     size = F.octet_length("text")
-    out = out.withColumn("_new", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(size - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1))
-    out = out.withColumn("removed", F.coalesce("_gone", F.array().cast("array<int>")))
-    out = out.withColumn("share", F.when(F.col("_gone").isNull() | (size == 0), 0.0).otherwise((size - F.octet_length("_new")) / size))
-    out = out.withColumn("text", F.col("_new"))
-    return out.drop("_id", "_th", "_d", "_t", "_gone", "_new")
+    out = out.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(size - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    share = F.when(F.col("gone").isNull() | (size == 0), 0.0).otherwise((size - F.octet_length("left")) / size)
+    return out.select(
+        *(F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns),
+        n_lines.alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"), share.alias("share"),
+    )
