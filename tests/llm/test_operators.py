@@ -223,7 +223,7 @@ def test_neighbours_in_several_blocks(spark):
 
 def test_backoff(spark):
     rows = [(1, "abab", "s"), (2, "abc", "s"), (3, None, "s")]
-    got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score(docs(spark, rows), order=2, min_count=2).collect()}
+    got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score(docs(spark, rows), order=2, min_count=2, unit="bytes").collect()}
     sym = {"a": 3, "b": 4, "c": 5}
     seqs = [[0, *(sym[c] for c in t)] for _, t, _ in rows if t]
     two = Counter(p for s in seqs for p in zip(s, s[1:], strict=False))
@@ -240,8 +240,11 @@ def test_backoff(spark):
     assert lm_scoring.score(docs(spark, [])).count() == 0
 
 
-def test_word_backoff(spark, tmp_path):
-    texts = ["the cat sat on the mat", "The cat sat down", "кот сидит", "пёс сидит сидит", "the cat sat on the mat", None, " "]
+@pytest.mark.parametrize("batch", [100, 1 << 24])
+def test_word_backoff(spark, tmp_path, monkeypatch, batch):
+    monkeypatch.setattr(lm_scoring, "BATCH_BYTES", batch)
+    rng = np.random.default_rng(8)
+    texts = ["the cat sat on the mat", "The cat sat down", "кот сидит", "пёс сидит сидит", "the cat sat on the mat", None, " ", *(" ".join(f"w{rng.integers(9)}" for _ in range(rng.integers(40))) for _ in range(30))]
     docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in queries.op4_backoff_scores(spark, str(tmp_path)).collect()}
     seqs = [["^", "^", "^", *(t or "").lower().split()] for t in texts]
