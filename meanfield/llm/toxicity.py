@@ -18,24 +18,42 @@ from ._common import tidy
 
 #: What obfuscators write for a letter.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c"}
+#: Signs that are punctuation as well: they stand for a letter inside a word, the first two also before one.
+WEAK = "!|+("
 SEPARATORS = " .-_*"
 _WORD = re.compile(r"[^\W\d_]+")
-_LETTER, _LEET, _SEP = 1, 2, 3
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
-_CLASS[[ord(c) for c in LEET]] = _LEET
+_LETTER, _SIGN, _WEAK, _SEP = 1, 2, 3, 4
+#: Classes of code points; those over 127 count as letters.
+_CLASS = np.zeros(129, np.uint8)
+_CLASS[[*range(97, 123), 128]] = _LETTER
+_CLASS[[ord(c) for c in LEET]] = _SIGN
+_CLASS[[ord(c) for c in WEAK]] = _WEAK
 _CLASS[[ord(c) for c in SEPARATORS]] = _SEP
+#: Restored words or trigram scores that a task remembers.
+WORDS = 50_000
+#: What it costs to read a separator against its usual sense.
+BREAK = -3.0
+
+
+class _Alphabet(dict):
+    """The character model's signs: a to z, ^ and $ around a word, and ? for all else."""
+
+    def __missing__(self, code):
+        return "?"
+
+
+_ALPHABET = _Alphabet({ord(c): c for c in "abcdefghijklmnopqrstuvwxyz^$"})
 
 
 @dataclass
 class CharModel:
-    """Character trigram model of words, with interpolated lower orders."""
+    """Character trigram model of words, with interpolated lower orders, over 29 signs: at most 29 ** 3 trigrams."""
 
     counts: dict[str, int] = field(default_factory=dict)
 
     @staticmethod
     def grams(word: str):
-        w = f"^^{word}$"
+        w = f"^^{word.translate(_ALPHABET)}$"
         for i in range(2, len(w)):
             yield w[i - 2 : i + 1]
 
@@ -54,94 +72,107 @@ class CharModel:
         if gram not in self._known:
             if len(self._known) > WORDS:
                 self._known.clear()
-            p1 = (self.uni[gram[2]] + 0.5) / (self.total + 100)
-            p2 = (self.bi[gram[1:]] + 5 * p1) / (self.ctx2[gram[1]] + 5)
-            self._known[gram] = math.log((self.tri[gram] + 5 * p2) / (self.ctx3[gram[:2]] + 5))
+            g = gram.translate(_ALPHABET)
+            p1 = (self.uni[g[2]] + 0.5) / (self.total + 100)
+            p2 = (self.bi[g[1:]] + 5 * p1) / (self.ctx2[g[1]] + 5)
+            self._known[gram] = math.log((self.tri[g] + 5 * p2) / (self.ctx3[g[:2]] + 5))
         return self._known[gram]
 
 
-def restore(token: str, model: CharModel, beam: int = 48) -> str:
-    """The likeliest letters behind a lower-case token: Viterbi over its character lattice.
-
-    Each sign may stand for a letter (LEET), for nothing, or for itself; a run of one letter for one or two of it;
-    separators between single letters for nothing.  States are the last two letters; a beam keeps the best.
-    """
-    arcs: list[list[tuple[str, float]]] = []
-    i = 0
-    while i < len(token):
-        c, j = token[i], i + 1
-        while j < len(token) and token[j] == c:
-            j += 1
+def _lattice(token: str) -> list[list[tuple[str, float]]]:
+    """The arcs of a token, place by place: what stands there in the word that was meant, and its cost."""
+    runs = [m[0] for m in re.finditer(r"(.)\1*", token, re.DOTALL)]
+    # letters spelt singly stand between equal separators; wider ones, or a space among others, rather part words
+    gaps = [m[0] for m in re.finditer(r"[ .\-_*]+", token)]
+    usual, arcs = max(Counter(gaps).items(), key=lambda x: x[1], default=("", 0))[0], []
+    gap = iter(gaps)
+    for k, run in enumerate(runs):
+        c = run[0]
         if c in LEET:
-            for _ in range(min(j - i, 2)):
-                arcs.append([*((x, -1.0) for x in LEET[c]), ("", -4.0)])
+            arcs += [[*((x, -1.0) for x in LEET[c]), ("", -4.0)]] * min(len(run), 2)
         elif c.isalpha():
-            if j - i == 1:
-                arcs.append([(c, 0.0)])
-            elif j - i == 2:
-                arcs.append([(c + c, 0.0), (c, -2.5)])
-            else:
-                arcs.append([(c, -0.5), (c + c, -0.7)])
-        else:
-            arcs.append([("", 0.0)])
-        i = j
-    states = {"^^": (0.0, "")}
-    for options in arcs:
-        new: dict[str, tuple[float, str]] = {}
+            arcs.append([(c, 0.0)] if len(run) == 1 else [(c + c, 0.0), (c, -2.5)] if len(run) == 2 else [(c, -0.5), (c + c, -0.7)])
+        elif c in SEPARATORS:
+            if not k or runs[k - 1][0] not in SEPARATORS:
+                g = next(gap)
+                wide = g != usual and (len(g) > len(usual) or g.isspace())
+                arcs.append([("", BREAK if wide else 0.0), (" ", 0.0 if wide else BREAK)])
+    return arcs
+
+
+def restore(token: str, model: CharModel) -> str:
+    """The likeliest words behind a lower-case token: exact Viterbi over its character lattice.
+
+    Each sign may stand for a letter (LEET) or for nothing; a run of one letter for one or two of it; separators for
+    nothing or for a word's end.  States are the last two letters, all of which are kept: at most the square of the
+    letters that the last places may stand for.
+    """
+    states: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
+    for options in _lattice(token):
+        new: dict[str, tuple[float, tuple]] = {}
         for state, (score, word) in states.items():
             for letters, cost in options:
                 s, total = state, score + cost
-                for x in letters:
-                    total += model.log_prob(s + x)
-                    s = s[1] + x
+                if letters == " ":
+                    if s == "^^":
+                        continue  # no word without letters
+                    total += model.log_prob(s + "$")
+                    s = "^^"
+                else:
+                    for x in letters:
+                        total += model.log_prob(s + x)
+                        s = s[1] + x
                 if s not in new or new[s][0] < total:
-                    new[s] = (total, word + letters)
-        states = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:beam]) if len(new) > beam else new
-    return max(((score + model.log_prob(s + "$"), word) for s, (score, word) in states.items()), default=(0, ""))[1]
-
-
-def suspects(data: np.ndarray) -> np.ndarray:
-    """Byte positions inside disguised words: signs within letters, runs of three, letters spelt singly."""
-    n = len(data)
-    if n < 3:
-        return np.zeros(0, np.int64)
-    c = _CLASS[data]
-    letter, sign, sep = c == _LETTER, c == _LEET, c == _SEP
-    wide = np.concatenate([[False], letter, [False]])
-    before, after = wide[:-2], wide[2:]
-    hit = sign & after & (before | ~np.concatenate([[False], sign[:-1] | letter[:-1]]))
-    hit[1:-1] |= letter[1:-1] & (data[1:-1] == data[:-2]) & (data[1:-1] == data[2:]) & (data[1:-1] < 128)
-    alone = letter & ~before & ~after & (data < 128)
-    if n >= 5:
-        hit[2:-2] |= alone[2:-2] & alone[:-4] & alone[4:] & sep[1:-3] & sep[3:-1]
-    return np.flatnonzero(hit)
-
-
-#: Distinct words a task holds while it counts, and restored words or trigram scores it remembers.
-WORDS = 50_000
-_SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_](?![^\W_])){2,}")
+                    new[s] = (total, (word, letters) if letters else word)
+        states = new or states
+    word, out = max(((score + model.log_prob(s + "$"), word) for s, (score, word) in states.items()), key=lambda x: x[0])[1], []
+    while word:
+        word, letters = word
+        out.append(letters)
+    return "".join(reversed(out))
 
 
-def restored_words(text: str, at: list[int], model: CharModel, known: dict[str, str]) -> list[str]:
-    """The restored forms of the disguised words of a lower-case UTF-8 text around byte positions ``at``.
+def disguised(low: str) -> list[str]:
+    """The disguised words of a lower-case text, each whole.
 
-    Every word that holds a position is decoded, and every run of letters spelt singly, each whole and once.
+    Words with a sign beside letters or a run of three equal letters, and runs of three or more single letters or signs
+    between one to three separators, at least half of them letters.
     """
-    if not at:
+    code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(code) < 3:
         return []
-    raw, out, end = text.encode(), [], -1
-    tokens = [m[0] for m in _SPELT.finditer(text)]
-    for p in at:
-        if p < end:
-            continue
-        lo, hi = p, p + 1
-        while lo and raw[lo - 1] not in b" \t\n\r\v\f" and p - lo < 40:
-            lo -= 1
-        while hi < len(raw) and raw[hi] not in b" \t\n\r\v\f" and hi - p < 40:
-            hi += 1
-        end = hi
-        tokens.append(raw[lo:hi].decode(errors="ignore").strip(".,;:?!'\"()[]%&#*$"))
-    for token in tokens:
+    c = _CLASS[np.minimum(code, 128)]
+    pad = np.concatenate([[0], c, [0]])
+    before, after = pad[:-2], pad[2:]
+    letter, sign, weak = c == _LETTER, c == _SIGN, c == _WEAK
+    hit = sign & ((before == _LETTER) | (after == _LETTER))
+    inner = (before == _LETTER) | (before == _SIGN)
+    hit |= weak & (after == _LETTER) & (inner | ((before == 0) | (before == _SEP)) & ((code == 33) | (code == 124)))
+    same = letter[2:] & (code[2:] == code[1:-1]) & (code[1:-1] == code[:-2]) & (code[2:] < 128)
+    hit[1:-1] |= same
+    out = []
+    at = np.flatnonzero(hit)
+    if len(at):
+        ends = np.flatnonzero((c == 0) | (code == 32))
+        k = np.unique(np.searchsorted(ends, at))
+        for lo, hi in zip(np.concatenate([[-1], ends])[k].tolist(), np.concatenate([ends, [len(c)]])[k].tolist(), strict=True):
+            out.append(low[lo + 1 : hi].strip(WEAK[2:] + SEPARATORS).rstrip(WEAK))
+    busy = (pad == _LETTER) | (pad == _SIGN) | (pad == _WEAK)
+    alone = np.flatnonzero((letter | sign) & ~busy[:-2] & ~busy[2:])
+    if len(alone) >= 3:
+        seps, gap = np.cumsum(c == _SEP), np.diff(alone)
+        near = (gap <= 4) & (seps[alone[1:] - 1] - seps[alone[:-1]] == gap - 1)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], near, [False]]).astype(np.int8)))
+        for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if j - i >= 2 and 2 * letter[alone[i : j + 1]].sum() >= j - i + 1:
+                out.append(low[alone[i] : alone[j] + 1])
+    return out
+
+
+def restored_words(low: str, model: CharModel, known: dict[str, str]) -> list[str]:
+    """The restored forms of the disguised words of a lower-case text; ``known`` remembers some."""
+    out = []
+    for token in disguised(low):
         if len(token) > 1:
             if token not in known:
                 if len(known) > WORDS:
@@ -152,18 +183,16 @@ def restored_words(text: str, at: list[int], model: CharModel, known: dict[str,
 
 
 def _documents(batch, column: int):
-    """(row, lower-case text, suspect positions in its bytes) of a batch."""
+    """(row, lower-case text) of a batch."""
     for k, value in enumerate(batch.column(column)):
-        low = (value.as_py() or "").lower()
-        yield k, low, suspects(np.frombuffer(low.encode(), np.uint8)).tolist()
+        yield k, (value.as_py() or "").lower()
 
 
 def features(words: set[str]) -> set[str]:
     """A word (=w) and its beginnings of 4 to 7 letters (w)."""
     out = set()
     for w in words:
-        if len(w) <= 24:
-            out.add("=" + w)
+        out.add("=" + w)
         out.update(w[:k] for k in range(4, min(7, len(w)) + 1))
     return out
 
@@ -184,6 +213,13 @@ class ToxicityModel:
         tail = r"(?:(?:" + "|".join(words) + r")(?![^\W\d_]))" if words else ""
         return re.compile(r"\b(?:" + "|".join([*starts, *([tail] if tail else [])]) + ")")
 
+    def matches(self, low: str, pattern, known: dict[str, str]) -> set[str]:
+        """Entries of the lexicon in a lower-case text and in the restored forms of its disguised words."""
+        found = set(pattern.findall(low))
+        for words in restored_words(low, self.chars, known):
+            found.update(pattern.findall(words))
+        return found
+
     def score(self, matched: set[str]) -> float:
         clean = 1 - self.rest
         for m in matched:
@@ -196,32 +232,52 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def character_model(docs: DataFrame, most: int = 50_000) -> CharModel:
-    """Counts the trigrams of the words of all of ``docs`` (text); the model keeps the ``most`` frequent.
+def _symbols() -> np.ndarray:
+    """The model's sign of each code point of the first plane: 1 to 26 for a to z, 27 for another letter, 0 for what parts words."""
+    out = np.array([27 * (chr(i).isalnum() and not chr(i).isdecimal()) for i in range(1 << 16)], np.int32)
+    out[97:123] = np.arange(1, 27)
+    return out
 
-    A task counts words first and turns distinct words into trigrams when it holds ``WORDS`` of them.
-    """
 
-    def letters(batches):
-        words: Counter = Counter()
+_SIGNS = "^abcdefghijklmnopqrstuvwxyz?$"
+
 
-        def grams():
-            out: Counter = Counter()
-            for w, n in words.items():
-                for g in CharModel.grams(w):
-                    out[g] += n
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["g", "n"])
+def _trigram_counts(low: str, symbols: np.ndarray) -> np.ndarray:
+    """How often each trigram, numbered by its signs in base 29, stands in the words of a lower-case text."""
+    code = np.frombuffer(f"\n\n{low}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = symbols[np.minimum(code, 0xFFFF)]
+    s[code > 0xFFFF] = 27
+    # what parts words, 0, is the mark before a word as well
+    one, two = s[1:-1], np.where(s[1:-1] == 0, 0, s[:-2])
+    last = np.where(s[2:] == 0, 28, s[2:])
+    use = (s[2:] != 0) | (one != 0)
+    return np.bincount(((two * 29 + one) * 29 + last)[use], minlength=29**3)
 
+
+def character_model(docs: DataFrame) -> CharModel:
+    """Counts the trigrams of the words of all of ``docs`` (text), over the 29 signs of ``CharModel``.
+
+    Null and empty texts have no words; extra columns are ignored; an empty table gives an empty model.
+    """
+
+    def letters(batches):
+        symbols, total = _symbols(), np.zeros(29**3, np.int64)
+        held: list[str] = []
+        size = 0
         for batch in batches:
             for text in batch.column(0):
-                words.update(w for w in _WORD.findall((text.as_py() or "").lower()) if len(w) <= 24)
-                if len(words) > WORDS:
-                    yield grams()
-        yield grams()
+                held.append((text.as_py() or "").lower())
+                size += len(held[-1])
+                if size > 1 << 20:
+                    total += _trigram_counts("\n".join(held), symbols)
+                    held, size = [], 0
+        total += _trigram_counts("\n".join(held), symbols)
+        at = np.flatnonzero(total)
+        names = [_SIGNS[g // 841] + _SIGNS[g // 29 % 29] + _SIGNS[g % 29] for g in at.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(total[at])], ["g", "n"])
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(letters), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    return CharModel({r["g"]: r["n"] for r in counts.orderBy(F.desc("n"), "g").limit(most).collect()})
+    return CharModel({r["g"]: r["n"] for r in counts.collect()})  # at most 29 ** 3 rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3) -> ToxicityModel:
@@ -230,7 +286,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3
     The character model counts the words of all documents, without labels.  Features are the words and word beginnings of restored texts.
     Sequential covering (``cover``) then picks the lexicon among features that occur in ``least`` toxic documents and in
     no more than a twentieth as many clean ones, so words that merely stand beside a toxic word in copies of one document
-    aren't learned.  Rows with a null id, label or text teach nothing.
+    aren't learned.  Rows with a null id, label or text teach nothing; of several labels of one id the largest holds; repeated
+    documents teach as often as they stand there; empty tables give a model that finds nothing; extra columns are ignored.
+    ``sample`` is the only bound: the driver holds the features of so many documents.
     """
     spark = docs.sparkSession
     labels = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -242,9 +300,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3
     chars = character_model(docs)
 
     def of(batch, known):
-        for k, low, at in _documents(batch, 1):
+        for k, low in _documents(batch, 1):
             words = set(_WORD.findall(low))
-            for w in restored_words(low, at, chars, known):
+            for w in restored_words(low, chars, known):
                 words.update(_WORD.findall(w))
             yield k, features(words)
 
@@ -264,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([0] * len(part), pa.int64()), pa.array([good[x] for x in part], pa.int64())], ["f", "t", "c"])
 
     table = train.mapInArrow(tidy(tally), "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    rows = table.where(f"f = '' or (t >= {least} and 20 * c <= t)").orderBy(F.desc("t"), "f").limit(100_000).collect()
+    rows = table.where(f"f = '' or (t >= {least} and 20 * c <= t)").collect()
     size = next(((r["t"], r["c"]) for r in rows if r["f"] == ""), (0, 0))
     seen = {r["f"]: (r["t"], r["c"]) for r in rows if r["f"]}
     names = set(seen)
@@ -342,10 +400,8 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
         pattern, known = model.pattern(), {}
         for batch in batches:
             scores, matched = [], []
-            for _, low, at in _documents(batch, 1):
-                found = set(pattern.findall(low))
-                if at:
-                    found.update(pattern.findall(" ".join(restored_words(low, at, model.chars, known))))
+            for _, low in _documents(batch, 1):
+                found = model.matches(low, pattern, known)
                 scores.append(model.score(found))
                 matched.append(sorted(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(matched, pa.list_(pa.string()))], ["doc_id", "score", "matched"])
@@ -356,18 +412,19 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
 
 
 def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``; all columns pass through, and rows stay whole."""
+    """The rows of ``docs`` (text, ...) that score under ``threshold``.
+
+    All columns pass through, whatever their names and order, and rows stay whole; null, empty and repeated texts score as
+    in ``score``; an empty table gives an empty result.
+    """
     pattern_rows = docs.schema
 
     def run(batches):
         pattern, known = model.pattern(), {}
         for batch in batches:
             keep = []
-            for _, low, at in _documents(batch, text_at):
-                found = set(pattern.findall(low))
-                if at:
-                    found.update(pattern.findall(" ".join(restored_words(low, at, model.chars, known))))
-                keep.append(model.score(found) < threshold)
+            for _, low in _documents(batch, text_at):
+                keep.append(model.score(model.matches(low, pattern, known)) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     text_at = docs.columns.index("text")

@@ -499,34 +499,79 @@ def test_seek_table():
 
 def test_character_model_counts_every_document(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "WORDS", 2)
-    texts = [None, "", "Ab ab 12 cé", "ab " * 500, "x" * 30, "last ÉTÉ"]
+    texts = [None, "", "Ab ab 12 cé", "ab " * 500, "x" * 30, "last ÉTÉ", "word_s 𝒜b² x1y٣z", "é" * 700_000, "ab\nc " * 300_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     want = Counter()
     for t in texts:
         for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
-            if len(w) <= 24:
-                want.update(toxicity.CharModel.grams(w))
+            w = f"^^{re.sub('[^a-z]', '?', w)}$"
+            want.update(w[i : i + 3] for i in range(len(w) - 2))
     assert toxicity.character_model(df).counts == dict(want)
     assert toxicity.character_model(df.limit(0)).counts == {}
 
 
+WORDS = ["idiot", "stupid", "loser", "trash", "clown", "moron", "hello", "letter", "good", "morning", "you", "are", "é"]
+
+
+def character_model():
+    return toxicity.CharModel(Counter(g for w in WORDS * 50 for g in toxicity.CharModel.grams(w)))
+
+
 def test_restore():
-    words = ["idiot", "stupid", "loser", "trash", "clown", "hello", "letter", "good", "morning"]
-    m = toxicity.CharModel(Counter(g for w in words * 50 for g in toxicity.CharModel.grams(w)))
-    for token, want in {"1d10t": "idiot", "stup!d": "stupid", "l0s3r": "loser", "t r a s h": "trash", "c.l.o.w.n": "clown", "looooser": "loser", "hellllo": "hello", "l3tt3r": "letter"}.items():
+    m = character_model()
+    for token, want in {"1d10t": "idiot", "id10t": "idiot", "stup!d": "stupid", "!diot": "idiot", "l0s3r": "loser", "t r a s h": "trash", "c.l.o.w.n": "clown", "i . d . i . o . t": "idiot", "1 d i 0 t": "idiot", "looooser": "loser", "hellllo": "hello", "l3tt3r": "letter", "y o u   i d i o t": "you idiot", "y o u a r e": "you are"}.items():
         assert toxicity.restore(token, m) == want
-        text = f"you {token} there"
-        at = toxicity.suspects(np.frombuffer(text.encode(), np.uint8)).tolist()
-        assert want in toxicity.restored_words(text, at, m, {})
-    assert not len(toxicity.suspects(b"plain words, 1234 and more!! of% the*** 5 letters" and np.frombuffer(b"plain words, 1234 and more!! of% the*** letters", np.uint8)))
+        assert want in toxicity.restored_words(f"you {token}, there!", m, {})
+    # a token is decoded whole, however long
+    assert toxicity.restore("111ddd111" + "0" * 40 + "t", m) == toxicity.restore("11dd1100t", m) == "idiot"
+    assert toxicity.disguised("plain words, 1234 and more!! of% the*** (letters) - 5. | a table | we're a 1 2 3") == []
 
 
 def test_every_disguised_word_is_restored():
-    words = ["idiot", "stupid", "loser", "moron", "hello", "good"]
-    m = toxicity.CharModel(Counter(g for w in words * 50 for g in toxicity.CharModel.grams(w)))
-    for text, want in {"1d10t m0r0n l0s3r s t u p i d": {"idiot", "moron", "loser", "stupid"}, "s t u p i d m0r0n": {"stupid", "moron"}, "é s.t.u.p.i.d é l0s3r": {"stupid", "loser"}, " ".join("good" * 25) + " m0r0n": {"good" * 25, "moron"}}.items():
-        at = toxicity.suspects(np.frombuffer(text.encode(), np.uint8)).tolist()
-        assert want <= set(toxicity.restored_words(text, at, m, {}))
+    m = character_model()
+    for text, want in {"1d10t m0r0n l0s3r s t u p i d": {"idiot", "moron", "loser", "stupid"}, "s t u p i d m0r0n": {"stupid", "moron"}, "é s.t.u.p.i.d é l0s3r": {"stupid", "loser"}, " ".join("good" * 25) + " m0r0n": {"good", "moron"}, "x" * 500 + "/l0s3r": {"loser"}}.items():
+        assert want <= {w for x in toxicity.restored_words(text, m, {}) for w in x.split()}
+
+
+@given(st.lists(st.sampled_from(["1", "0", "3", "l", "s", "ee", "ooo", ".", "r", "d"]), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_restoring_is_exact(parts):
+    """Against every path through the lattice."""
+    m, token = character_model(), "".join(parts)
+    paths = [("", 0.0)]
+    for arcs in toxicity._lattice(token):
+        paths = [(w + x, c + y) for w, c in paths for x, y in arcs if x != " " or (w and w[-1] != " ")]
+
+    def cost(word, c):
+        return c + sum(m.log_prob(f"^^{w}$"[i : i + 3]) for w in word.split(" ") for i in range(len(w) + 1))
+
+    best = max(cost(w, c) for w, c in paths)
+    got = toxicity.restore(token, m)
+    assert max(cost(w, c) for w, c in paths if w == got) == pytest.approx(best)
+
+
+def test_cover_by_definition():
+    """The lexicon against a plain greedy search that weighs every feature anew at each step."""
+    rng = np.random.default_rng(0)
+    names = [f"=w{i}" for i in range(12)] + ["abcd", "abcde"]
+    for _ in range(20):
+        cases = [{n for n in names if rng.random() < 0.25} for _ in range(40)]
+        groups = rng.integers(0, 12, 40).tolist()
+        seen = {n: (sum(n in c for c in cases), int(rng.integers(0, 2))) for n in names}
+        need, want, left = [3] * 40, {}, {n for n in names if seen[n][0]}
+        while left:
+            gain = {n: sum(n in c and need[i] > 0 for i, c in enumerate(cases)) for n in left}
+            n = min(left, key=lambda n: (20 * seen[n][1] - gain[n], -seen[n][0], -len(n), n))
+            left.discard(n)
+            bare = n.lstrip("=")
+            if gain[n] < 3 or any(k.startswith(bare) or bare.startswith(k) for k in (x.lstrip("=") for x in want)):
+                continue
+            at = [i for i, c in enumerate(cases) if n in c and need[i]]
+            if sum(need[i] == 3 for i in at) >= 3 or len({groups[i] for i in at}) >= 5:
+                want[n] = (seen[n][0] + 1) / (sum(seen[n]) + 2)
+                for i in at:
+                    need[i] -= 1
+        assert toxicity.cover(cases, groups, seen, 3) == want
 
 
 def test_toxicity(spark):
@@ -547,6 +592,15 @@ def test_toxicity(spark):
     wrong = [r["doc_id"] for r in out if r["doc_id"] >= 10 and r["predicted"] != int(r["doc_id"] % 5 == 0)]
     assert len(wrong) <= 9
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
+    # the score by its formula, from the words of the text and of its restored forms
+    for r in out[:200]:
+        low = (next(t for i, t, _ in rows if i == r["doc_id"]) if r["doc_id"] >= 10 else "").lower()
+        if r["doc_id"] >= 10:
+            seen = {m for w in [low, *toxicity.restored_words(low, model.chars, {})] for x in w.split() for m in model.lexicon if (x == m[1:] if m[0] == "=" else x.startswith(m))}
+            assert r["score"] == pytest.approx(1 - (1 - model.rest) * np.prod([1 - model.lexicon[m] for m in seen]))
+    kept = toxicity.reject(docs(spark, [*rows, *EDGES]).select("score", "text", "doc_id", "epoch"), model)
+    assert kept.columns == ["score", "text", "doc_id", "epoch"]
+    assert Counter(r["doc_id"] for r in kept.collect() if (r["doc_id"] or 0) >= 10) == Counter(r["doc_id"] for r in out if r["doc_id"] >= 10 and not r["predicted"])
     assert toxicity.score(docs(spark, EDGES), model).count() == len(EDGES)
     assert toxicity.score(docs(spark, []), model).count() == 0
     none = toxicity.fit(df.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
