@@ -13,9 +13,9 @@ from ._common import parts, text_buffer, tidy
 from ._text import _BASE, _BYTE, _LOWER, U64, mix64, word_hashes
 
 #: Bytes of text and documents of a batch on average, at most.
-BATCH_BYTES, BATCH_DOCS = 24 << 20, 1 << 18
+BATCH_BYTES, BATCH_DOCS = 12 << 20, 1 << 18
 #: Bytes of text that a task packs at a time.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 
 
 def _deal():
@@ -85,13 +85,31 @@ def _grams(symbols: np.ndarray, lengths: np.ndarray, order: int):
 
 def _distinct(k: int, order: int, ends: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The rising hashes of the grams of order k that a batch asks for."""
-    return np.unique(ends) if k == order else np.unique(np.concatenate([ends, before]))
+    return np.unique(ends) if k == order else np.union1d(ends, before)
 
 
 def _counted(values: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """How often each of the rising ``values`` stands in ``hashes``, which hold no others."""
-    hashes = np.sort(hashes)
-    return np.searchsorted(hashes, values, "right") - np.searchsorted(hashes, values, "left")
+    found, n = np.unique(hashes, return_counts=True)
+    out = np.zeros(len(values), np.int64)
+    out[np.searchsorted(values, found)] = n
+    return out
+
+
+def _looked_up(hashes: np.ndarray, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each hash, from those of the rising ``values``; hashes are put in order first, so that no search is at random."""
+    order = np.argsort(hashes)
+    rising = hashes[order]
+    new = np.ones(len(rising), bool)
+    new[1:] = rising[1:] != rising[:-1]
+    found = counts[np.searchsorted(values, rising[new])]
+    out = np.empty(len(hashes), counts.dtype)
+    out[order] = found[np.cumsum(new) - 1]
+    return out
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -154,27 +172,26 @@ def _total(key, table):
 def _sum(order: int, unit: str, count: int, min_count: int, backoff: float):
     def run(key, docs, table):
         ids, symbols, lengths = _documents(docs["docs"], unit)
+        values = [_distinct(k, order, ends, before) for k, ends, before in _grams(symbols, lengths, order)]
+        cuts = [_cuts(v, count) for v in values]
         # of each order the answers' parts, by range
         answers: list[list] = [[] for _ in range(order + 1)]
-        grams = list(_grams(symbols, lengths, order))
-        values = [_distinct(k, order, ends, before) for k, ends, before in grams]
-        cuts = [_cuts(v, count) for v in values]
         for row in table.sort_by("p").to_batches():
             for p, n, m in zip(row["p"].to_pylist(), row["n"], row["m"], strict=True):
                 n, m, i = _unpack(n.as_buffer(), np.int64), _unpack(m.as_buffer(), np.int64), 0
                 for k, c in enumerate(cuts):
                     j = i + int(c[p + 1] - c[p])
-                    answers[k].append((n[i:j], m[i:j]))
+                    answers[k].append((_narrow(n[i:j]), _narrow(m[i:j])))
                     i = j
         lp, context = np.zeros(len(symbols)), None
-        for k, ends, before in grams:
-            n, m = (np.concatenate([x[i] for x in answers[k]] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        for k, ends, before in _grams(symbols, lengths, order):
+            n, m = (np.concatenate([x[i] for x in answers[k]] or [np.zeros(0, np.uint8)]) for i in (0, 1))
             if k:
-                c = n[np.searchsorted(values[k], ends)]
+                c = _looked_up(ends, values[k], n)
                 use = c >= (min_count if k > 1 else 1)
-                lp[use] = np.log(c[use] / context[use]) + (order - k) * math.log(backoff)
-            context = m[np.searchsorted(values[k], before)] if k < order else None
-            grams[k] = answers[k] = values[k] = None
+                lp[use] = np.log(c[use].astype(np.float64) / context[use]) + (order - k) * math.log(backoff)
+            context = _looked_up(before, values[k], m) if k < order else None
+            answers[k] = values[k] = None
         total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=lp, minlength=len(lengths))
         return pa.table({"doc_id": ids, "n_symbols": pa.array(lengths.astype(np.int64)), "log_prob": pa.array(total.astype(np.float64))})
 
