@@ -13,4 +13,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
     path = f"{base.rstrip('/')}/meanfield/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._meanfield_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes a table made by ``stored`` that no later plan reads."""
+    path = getattr(df, "_meanfield_path", None)
+    if path:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jpath, True)

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meanfield.functions.storage import stored
 from meanfield.functions.vectors import distances, matrix, sqdist
 
 PARTIAL = "cid int, s array<double>, n long, sse double, pen double"
@@ -31,9 +32,10 @@ def classify(df: DataFrame, c: np.ndarray) -> DataFrame:
 
 
 def classify_relational(df: DataFrame, centroids: DataFrame) -> DataFrame:
-    """The same by a broadcast nested loop and a minimum of (distance, number); ``centroids`` has K rows."""
-    pairs = df.join(F.broadcast(centroids)).select("id", F.struct(sqdist("v", "c").alias("d2"), "cid").alias("m"))
-    return pairs.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.cid", "m.d2")
+    """The same in expressions: the least (distance, number) over an array of all centroids; ``centroids`` has K rows."""
+    every = centroids.agg(F.array_sort(F.collect_list(F.struct("cid", "c"))).alias("cs"))
+    found = F.array_min(F.transform("cs", lambda x: F.struct(sqdist("v", x["c"]).alias("d2"), x["cid"].alias("cid"))))
+    return df.join(F.broadcast(every)).select("id", found.alias("m")).select("id", "m.cid", "m.d2")  # one row beside each
 
 
 def nearest(df: DataFrame, c: np.ndarray, b: int) -> DataFrame:
@@ -124,12 +126,41 @@ def permute(centroids: DataFrame, perm: DataFrame) -> DataFrame:
 
 
 def positions(df: DataFrame) -> DataFrame:
-    """Adds pos, the place from 0 in the order of id: ranges of ids are numbered on their own and offset by range totals."""
-    part = df.repartitionByRange("id").withColumn("_p", F.spark_partition_id())
-    part = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("id")))
-    totals = part.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = totals.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))  # one row for each range
-    return part.join(F.broadcast(before), "_p").withColumn("pos", F.col("_o") + F.col("_r") - 1).drop("_p", "_r", "_o")
+    """Adds pos, the place from 0 in the order of id (rows of one id in any order).
+
+    Ranges of ids are sorted and written once with each row's place in its range; their totals, one row for each range, are
+    counted from the written table, so both come from the same ranges.
+    """
+    place = F.monotonically_increasing_id()
+    part = stored(df.repartitionByRange("id").sortWithinPartitions("id").select(F.struct("*").alias("row"), place.alias("at")), "positions")
+    range_ = F.shiftright("at", 33).alias("range")
+    totals = part.groupBy(range_).agg(F.count("*").alias("n"))
+    before = totals.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    out = part.withColumn("range", range_).join(F.broadcast(before), "range")  # a row for each task of the range shuffle
+    return out.select("row.*", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("pos"))
+
+
+def moved(df: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(cid, j, n, x): what rows of ``df`` (id, v) that change from ``old`` to ``new`` (id, cid) add to each cluster's count and sums."""
+    pairs = old.select("id", F.col("cid").alias("a")).join(new.select("id", F.col("cid").alias("b")), "id").where("a <> b").join(df.select("id", "v"), "id")
+    signed = pairs.select("v", F.explode(F.array(F.struct(F.col("a").alias("cid"), F.lit(-1).alias("sign")), F.struct(F.col("b").alias("cid"), F.lit(1).alias("sign")))).alias("m"))
+    x = signed.select("m.cid", "m.sign", F.posexplode("v").alias("j", "x"))
+    return x.groupBy("cid", "j").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("x")).alias("x"))
+
+
+def members(labels: DataFrame) -> DataFrame:
+    """(cls, at, id): the class lists of ``labels`` (id, cls) as rows; at counts from 0 in the order of id."""
+    return labels.select("cls", (F.row_number().over(Window.partitionBy("cls").orderBy("id")) - 1).alias("at"), "id")
+
+
+def is_identity(perm: DataFrame) -> bool:
+    """Whether ``perm`` (src, dst) leaves every centroid where it is."""
+    return bool(perm.agg(F.coalesce(F.bool_and(F.col("src") == F.col("dst")), F.lit(True))).first()[0])
+
+
+def inverse(perm: DataFrame) -> DataFrame:
+    """The permutation (src, dst) that undoes ``perm``."""
+    return perm.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def take_rows(df: DataFrame, wanted: list[int]) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meanfield.functions.storage import stored
+from meanfield.functions.storage import discard, stored
 from meanfield.functions.vectors import distances, matrix, uniform, uniform_value
 
 from .assign import take_rows
@@ -63,29 +63,45 @@ def _closer(df: DataFrame, new: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def _mass(df: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(pos, m): each row's squared distance to the nearest chosen one, times its weight w where ``df`` has one."""
+    weighted = "w" in df.columns
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                m = distances(matrix(batch), chosen).min(1)
+                if weighted:
+                    m = m * batch.column(2).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m)], ["pos", "m"])
+
+    return df.select("pos", "v", *(["w"] if weighted else [])).mapInArrow(run, "pos long, m double")
+
+
 def plus_plus(df: DataFrame, k: int, seed: int = 0) -> np.ndarray:
-    """A uniform first row, then rows drawn in proportion to their squared distance to the nearest chosen.
+    """A uniform first row, then rows drawn in proportion to their weighted squared distance to the nearest chosen.
 
-    A draw finds its block of positions by the blocks' sums, then its row in the block.  When all mass is gone the lowest
-    positions not yet chosen follow.
+    ``df`` has id, pos and v, and w (double) if rows have weights, which the first draw ignores.  A draw is one pass that
+    sums the mass of each block of positions, and finds its row in the block it falls into; nothing is written.  When all
+    mass is gone the lowest positions not yet chosen follow.
     """
     n = df.count()
     chosen = [int(uniform_value(seed, "pp", 0) * n)]
     out = take_rows(df, chosen)
-    state = df.select("id", "pos", "v", F.lit(float("inf")).alias("d2"))
     for i in range(1, k):
-        state = stored(_closer(state, out[-1:]), "pp")
-        blocks = state.groupBy(F.floor(F.col("pos") / BLOCK).alias("b")).agg(F.sum("d2").alias("s")).orderBy("b").collect()
+        blocks = _mass(df, out).groupBy(F.floor(F.col("pos") / BLOCK).alias("b")).agg(F.sum("m").alias("s")).orderBy("b").collect()
         total = sum(b["s"] for b in blocks)
         want = uniform_value(seed, "pp", i) * total
-        pick = next(p for p in range(n + 1) if p not in chosen) if total <= 0 else None
-        if pick is None:
+        if total <= 0:
+            pick = next(p for p in range(n + 1) if p not in chosen)
+        else:
             for b in blocks:
                 if want <= b["s"]:
                     break
                 want -= b["s"]
-            rows = state.where(F.floor(F.col("pos") / BLOCK) == b["b"]).select("pos", "d2").orderBy("pos").collect()
-            cum = np.cumsum([r["d2"] for r in rows])
+            lo = b["b"] * BLOCK
+            rows = _mass(df.where((F.col("pos") >= lo) & (F.col("pos") < lo + BLOCK)), out).orderBy("pos").collect()
+            cum = np.cumsum([r["m"] for r in rows])
             pick = rows[min(int(np.searchsorted(cum, want)), len(rows) - 1)]["pos"]
         chosen.append(pick)
         out = np.concatenate([out, take_rows(df, [min(pick, n - 1)])])
@@ -100,7 +116,8 @@ def scalable(df: DataFrame, k: int, factor: float = 1.0, rounds: int | None = No
     state = df.select("id", "pos", "v", F.lit(float("inf")).alias("d2"))
     new = out
     for r in range(rounds):
-        state = stored(_closer(state, new), "oror")
+        old, state = state, stored(_closer(state, new), "oror")
+        discard(old)
         cost = state.agg(F.sum("d2")).first()[0]
         if not cost:
             break

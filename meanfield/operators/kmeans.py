@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from meanfield.functions.vectors import uniform, uniform_value, validated, vectors
 
+from meanfield.sources.matrix import load_centroids
+
 from . import assign, init, pruned, stats
 
 
@@ -72,20 +74,28 @@ def updated(c: np.ndarray, rows: list, repair, iteration: int) -> tuple[np.ndarr
     return new, n, sum(r["sse"] for r in rows), sum(r["pen"] for r in rows)
 
 
-def run(step, c: np.ndarray, max_iter: int, min_iter: int, min_rel: float | None) -> Model:
+def run(step, c: np.ndarray, max_iter: int, min_iter: int, min_rel: float | None, report=None) -> Model:
     """Iterates while the fit falls.  A fit is the error before the update; the centroids are one update past the last fit.
 
-    Up to ``min_iter`` iterations the other tests are skipped; then it stops if the relative gain is under ``min_rel`` or
-    ``max_iter`` (0: no limit) iterations are done.
+    Before iteration ``min_iter`` all tests are skipped, also that of the fit, of which the best is kept; then it stops if
+    the relative gain is under ``min_rel`` or ``max_iter`` (0: no limit) iterations are done.  report: called with the
+    centroids and 0 first, then after each iteration that lowers the fit.
     """
     best, history, i = float("inf"), [], 0
+    if report:
+        report(c, 0)
     while True:
         i += 1
+        began = time.time()
         c, row = step(c, i)
-        history.append({"it": i, **row})
+        history.append({"it": i, **row, "seconds": time.time() - began})
         fit = row["fit"]
         if not fit < best:
+            if i < min_iter:
+                continue
             break
+        if report:
+            report(c, i)
         rel = 1.0 if best == float("inf") else (best - fit) / best
         best = fit
         if i < min_iter:
@@ -153,9 +163,14 @@ def prepared(df: DataFrame, id_col: str, *features: str) -> tuple[DataFrame, int
     return df, n, dim
 
 
-def fit(df: DataFrame, k: int, *, id_col: str, features: tuple[str, ...], algorithm: str = "naive", init: str | np.ndarray = "forgy", init_param: float | None = None, seed: int = 0, max_iter: int = 0, min_iter: int = 0, min_rel: float | None = None, balance_lambda: float = 0.0, sample_rate: float = 1.0, track_mse: bool = True, repetitions: int = 1, time_budget: float | None = None, repair: str = "cyclic", groups: int | None = None, n_bounds: int = 2, adaptive: bool = False, allow_unused_lambda: bool = False) -> Model:
+def fit(df: DataFrame, k: int, *, id_col: str, features: tuple[str, ...], algorithm: str = "naive", init: str | np.ndarray = "forgy", init_param: float | None = None, seed: int = 0, max_iter: int = 0, min_iter: int = 0, min_rel: float | None = None, balance_lambda: float = 0.0, sample_rate: float = 1.0, track_mse: bool = True, repetitions: int = 1, time_budget: float | None = None, repair: str = "cyclic", allow_unused_lambda: bool = False, report=None, each=None, **accelerated) -> Model:
     """Clusters the rows of ``df``; of several repetitions (each with its own draws) or restarts within ``time_budget``
-    seconds the best fit's model is returned.  Null, non-finite or ragged vectors raise ValueError."""
+    seconds the best fit's model is returned.
+
+    init: a matrix, one of INITS or the path of a centroid file, whose shape must be that of the clusters.  report: called
+    with (centroids, iteration) as ``run`` says; each: called with (model, repetition) after each repetition.  accelerated:
+    the options of ``pruned.step``.  Null, non-finite or ragged vectors raise ValueError.
+    """
     if k < 1 or not 0 < sample_rate <= 1 or balance_lambda < 0 or (min_rel is not None and not 0 <= min_rel < 1):
         raise ValueError("k, sample_rate, balance_lambda or min_rel out of range")
     if min_rel and not track_mse:
@@ -167,7 +182,10 @@ def fit(df: DataFrame, k: int, *, id_col: str, features: tuple[str, ...], algori
     data, n, dim = prepared(df, id_col, *features)
     best, began, rep = None, time.time(), 0
     while rep < repetitions or (time_budget is not None and time.time() - began < time_budget):
-        c = np.asarray(init, np.float64) if not isinstance(init, str) else INITS[init](data, k, init_param, seed + rep)
+        if not isinstance(init, str):
+            c = np.asarray(init, np.float64)
+        else:
+            c = INITS[init](data, k, init_param, seed + rep) if init in INITS else load_centroids(init, k, dim)
         if c.shape != (k, dim):
             raise ValueError(f"initial centroids are {c.shape}, not {(k, dim)}")
         fix = Repair(data, repair, seed + rep)
@@ -179,10 +197,13 @@ def fit(df: DataFrame, k: int, *, id_col: str, features: tuple[str, ...], algori
             elif algorithm == "naive":
                 step = lloyd_step(data, n, dim, fix, balance_lambda)
             else:
-                step = pruned.step(data, n, algorithm, fix, groups=groups, n_bounds=n_bounds, adaptive=adaptive)
-            model = run(step, c, max_iter, min_iter, min_rel)
+                step = pruned.step(data, n, algorithm, fix, **accelerated)
+            model = run(step, c, max_iter, min_iter, min_rel, report)
+            getattr(step, "close", lambda: None)()
         if best is None or model.fit < best.fit:
             best = model
+        if each:
+            each(model, rep)
         rep += 1
     data.unpersist()
     return best
@@ -205,8 +226,12 @@ def without_mse(df: DataFrame, c: np.ndarray, repair, max_iter: int = 0) -> Mode
             return Model(c, sse / counts.sum(), history)
 
 
-def relaxed(df: DataFrame, c: np.ndarray, seconds: float, seed: int = 0, max_iter: int = 1000) -> Model:
-    """Stochastic relaxation: after each step uniform noise (U - 0.5) * std_j * (1 - t / T) ** 2, until time T."""
+def relaxed(df: DataFrame, c: np.ndarray, seconds: float | None = None, seed: int = 0, max_iter: int = 1000) -> Model:
+    """Stochastic relaxation: after each step uniform noise (U - 0.5) * std_j * (1 - t / T) ** 2, until time T.
+
+    t / T is the share of ``seconds``, or of the ``max_iter`` iterations where no time is given: the result then follows
+    from the rows and the seed.  The draws are ``uniform_value(seed, "sr", iteration, cluster, column)``.
+    """
     n = df.count()
     std = np.array([r["std"] or 0.0 for r in stats.column_stats(df).orderBy("j").collect()])
     step, began, history = lloyd_step(df, n, c.shape[1], Repair(df, "random", seed)), time.time(), []
@@ -217,9 +242,10 @@ def relaxed(df: DataFrame, c: np.ndarray, seconds: float, seed: int = 0, max_ite
         history.append({"it": i, **row})
         if row["fit"] < best.fit:
             best = Model(before, row["fit"])
-        t = (time.time() - began) / seconds
+        t = i / max_iter if seconds is None else (time.time() - began) / seconds
         if t >= 1:
             break
-        c = c + (np.random.default_rng((seed, i)).random(c.shape) - 0.5) * std * (1 - t) ** 2
+        noise = np.array([[uniform_value(seed, "sr", i, a, b) for b in range(c.shape[1])] for a in range(len(c))])
+        c = c + (noise - 0.5) * std * (1 - t) ** 2
     best.history = history
     return best

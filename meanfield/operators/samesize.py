@@ -48,6 +48,23 @@ def swaps(d: np.ndarray, cid: np.ndarray) -> int:
     return count
 
 
+def assigned(x: np.ndarray, c: np.ndarray, rounds: int, cid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Same-size clusters of the rows of ``x``, each row's squared distance, and the mean one ahead of the swaps."""
+    c = c.copy()
+    dist = lambda: np.stack([((x - row) ** 2).sum(1) for row in c], 1)
+    d = dist()
+    cid = greedy(d) if cid is None else cid.astype(np.int64)
+    before = float(d[np.arange(len(x)), cid].mean()) if len(x) else 0.0
+    for _ in range(rounds):
+        if not swaps(d, cid):
+            break
+        for j in range(len(c)):
+            if (cid == j).any():
+                c[j] = x[cid == j].mean(0)
+        d = dist()
+    return cid, d[np.arange(len(x)), cid], before
+
+
 def same_size(df: DataFrame, c: np.ndarray, rounds: int = 0, given: str | None = None) -> DataFrame:
     """(id, cid, d2, before): same-size assignment of ``df`` (id, v); with rounds, swaps and new means until none helps.
 
@@ -60,19 +77,8 @@ def same_size(df: DataFrame, c: np.ndarray, rounds: int = 0, given: str | None =
     def run(table):
         table = table.sort_by("id")
         x = table["v"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-        m = c.copy()
-        dist = lambda: np.stack([((x - row) ** 2).sum(1) for row in m], 1)
-        d = dist()
-        cid = greedy(d) if given is None else table["given"].to_numpy().astype(np.int64)
-        before = float(d[np.arange(len(x)), cid].mean())
-        for _ in range(rounds):
-            if not swaps(d, cid):
-                break
-            for j in range(len(m)):
-                if (cid == j).any():
-                    m[j] = x[cid == j].mean(0)
-            d = dist()
-        return pa.table({"id": table["id"], "cid": pa.array(cid.astype(np.int32)), "d2": pa.array(d[np.arange(len(x)), cid]), "before": pa.array(np.full(len(x), before))})
+        cid, d2, before = assigned(x, c, rounds, None if given is None else table["given"].to_numpy())
+        return pa.table({"id": table["id"], "cid": pa.array(cid.astype(np.int32)), "d2": pa.array(d2), "before": pa.array(np.full(len(x), before))})
 
     start = F.lit(0) if given is None else F.col(given)
     return df.select("id", "v", start.cast("int").alias("given"), F.lit(0).alias("_g")).groupBy("_g").applyInArrow(lambda t: run(t.drop_columns(["_g"])), "id long, cid int, d2 double, before double")

@@ -166,6 +166,10 @@ def class_lists(spark, d):
     return _labels(spark, d).groupBy(F.col("cls").cast("long").alias("cls")).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
 
 
+def class_members(spark, d):
+    return assign.members(_labels(spark, d)).select(F.col("cls").cast("long").alias("cls"), F.col("at").cast("long").alias("at"), "id")
+
+
 def quantize(spark, d):
     q = assign.quantize(_assigned(spark, d), _c(spark, d))
     return q.select("id", F.col("cid").cast("long").alias("cid"), _r(F.get("c", F.lit(0))).alias("x0"), _r(F.get("c", F.lit(63))).alias("x63"))
@@ -203,11 +207,11 @@ def permute_centroids(spark, d):
 
 def inverse_permutation(spark, d):
     p = _perm(spark)
-    return p.select(F.col("dst").cast("long").alias("src"), F.col("src").cast("long").alias("dst"), (F.col("src") == F.col("dst")).alias("fixed"))
+    return assign.inverse(p).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), (F.col("src") == F.col("dst")).alias("fixed"), F.lit(assign.is_identity(p)).alias("identity"))
 
 
 def _prepared(spark, d):
-    return assign.positions(_e(spark, d)).persist()
+    return assign.positions(_e(spark, d))
 
 
 def init_forgy(spark, d):
@@ -260,11 +264,20 @@ def balanced_kmeans(spark, d):
 
 
 def sampled_kmeans(spark, d):
-    return _history(spark, _fit(spark, d, max_iter=1, sample_rate=RATE, seed=SEED))
+    """A fresh sample in each iteration."""
+    return _history(spark, _fit(spark, d, max_iter=ROUNDS, min_iter=ROUNDS, sample_rate=RATE, seed=SEED))
 
 
 def lloyd_no_mse(spark, d):
-    m = _fit(spark, d, track_mse=False, max_iter=ROUNDS)
+    """Until no assignment changes."""
+    return _flat(spark, _fit(spark, d, track_mse=False).centroids)
+
+
+def lloyd_repair(spark, d):
+    """One cluster is empty at first and becomes the first row."""
+    c = _first(spark, d)
+    c[-1] = 9.0
+    m = kmeans.fit(_table(spark, d, "embeddings"), K, id_col="vec_id", features=("embedding",), init=c, max_iter=3, min_iter=3, repair="cyclic")
     return _flat(spark, m.centroids)
 
 
@@ -277,17 +290,15 @@ def _accelerated(name, **options):
 
 
 def yinyang_groups(spark, d):
-    return spark.createDataFrame([(i, int(g)) for i, g in enumerate(pruned.block_groups(K, 3))], "cid long, grp long")
+    return spark.createDataFrame([(i, int(g)) for i, g in enumerate(pruned.group_centroids(_first(spark, d), 3))], "cid long, grp long")
 
 
 def move_deltas(spark, d):
     c0 = _first(spark, d)
     c1 = _fit(spark, d, max_iter=1).centroids
     e = _e(spark, d)
-    a, b = assign.classify(e, c0).select("id", F.col("cid").alias("old")), assign.classify(e, c1).select("id", F.col("cid").alias("new"))
-    x = a.join(b, "id").where("old <> new")
-    x = x.select(F.explode(F.array(F.struct(F.col("old").alias("cid"), F.lit(-1).alias("n")), F.struct(F.col("new").alias("cid"), F.lit(1).alias("n")))).alias("x"))
-    return x.groupBy(F.col("x.cid").cast("long").alias("cid")).agg(F.sum("x.n").cast("long").alias("delta"))
+    x = assign.moved(e, assign.classify(e, c0), assign.classify(e, c1))
+    return x.select(F.col("cid").cast("long").alias("cid"), F.col("j").cast("long").alias("j"), F.col("n").cast("long").alias("delta"), _r("x").alias("x"))
 
 
 def best_of_restarts(spark, d):
@@ -321,13 +332,8 @@ def random_draws(spark, d):
 
 
 def stochastic_relaxation(spark, d):
-    m = kmeans.relaxed(_prepared(spark, d), _first(spark, d), 2.0)
-    return spark.createDataFrame([(h["it"], float(h["fit"])) for h in m.history], "it long, fit double")
-
-
-def timed_restarts(spark, d):
-    m = kmeans.fit(_table(spark, d, "embeddings"), 3, id_col="vec_id", features=("embedding",), seed=SEED, time_budget=1.0, max_iter=2)
-    return _flat(spark, m.centroids)
+    m = kmeans.relaxed(_prepared(spark, d), _first(spark, d), seed=SEED, max_iter=ROUNDS)
+    return _history(spark, m)
 
 
 def distance_ratios(spark, d):
@@ -344,7 +350,7 @@ QUERIES = {f.__name__: f for f in (
     classify, classify_dist, second_nearest, top_b_nearest, annulus_candidates, mse, mse_given_labels, cluster_sse, cluster_sizes, size_balance_stats, compute_centers, class_lists, quantize, write_classes,
     find_objects, filter_class, dump_clusters, sort_centroids, permute_centroids, inverse_permutation, init_forgy, init_random, init_mindist, init_plusplus, init_oror, lloyd_fit_history, lloyd_centroids,
     lloyd_part, balanced_kmeans, sampled_kmeans, lloyd_no_mse, _accelerated("elkan"), _accelerated("hamerly"), _accelerated("annulus"), _accelerated("drake", n_bounds=4), _accelerated("yinyang", groups=3),
-    yinyang_groups, move_deltas, drift, best_of_restarts, samesize_assignment, samesize_iterative, samesize_from_assignment, random_draws, stochastic_relaxation, timed_restarts, distance_ratios,
+    yinyang_groups, move_deltas, drift, best_of_restarts, samesize_assignment, samesize_iterative, samesize_from_assignment, random_draws, stochastic_relaxation, distance_ratios, class_members, lloyd_repair,
 )}
 
 E_ = "e as (select cast(vec_id as bigint) id, list_transform(embedding, lambda x: cast(x as double)) v, label from embeddings)"
@@ -368,22 +374,27 @@ def _z(col: str, name: str | None = None, digits: int = 6) -> str:
     return f"round({col}, {digits}) + 0.0 {name or col}"
 
 
-def _lloyd(rows: str, k: int, iterations: int, penalty: str = "", sample: str = "") -> list[str]:
-    """CTEs l(it, cid, c, n, fit, pure): after ``it`` updates; n, fit and pure are of the pass that led there."""
+def _lloyd(rows: str, k: int, iterations: int, penalty: str = "", sample: str = "", name: str = "l", start: str = "", noise: str = "") -> list[str]:
+    """CTEs name(it, cid, c, n, fit, pure): after ``it`` updates; n, fit and pure are of the pass that led there."""
+    start = start or f"select id cid, v c from r where id < {k}"
     return [
         rows,
-        f"""l as (select cast(0 as bigint) it, id cid, v c, cast(0 as bigint) n, cast(null as double) fit, cast(0 as double) pure from r where id < {k}
+        f"""{name} as (select cast(0 as bigint) it, cast(cid as bigint) cid, c, cast(0 as bigint) n, cast(null as double) fit, cast(0 as double) pure from ({start})
         union all
-        select it, cid, list(x order by j), n, fit, pure from (
+        select it, cid, list(x{noise} order by j), n, fit, pure from (
           select it, cid, j, avg(x) x, any_value(n) n, any_value(fit) fit, any_value(pure) pure from (
             select it, m.cid cid, unnest(v) x, unnest(range(0, len(v))) j, n, fit, pure from (
               select *, count(*) over (partition by m.cid) n, avg(m.p) over () fit, avg(m.d) over () pure from (
                 select l.it + 1 it, r.id, any_value(r.v) v, min(struct_pack(p := list_distance(r.v, l.c) ** 2{penalty}, cid := l.cid, d := list_distance(r.v, l.c) ** 2)) m
-                from r, l where l.it < {iterations} {sample} group by l.it, r.id)))
+                from r, {name} l where l.it < {iterations} {sample} group by l.it, r.id)))
           group by it, cid, j) group by it, cid, n, fit, pure)""",
     ]
 
 
+def _forgy(seed: int) -> str:
+    return f"select i cid, v c from range({K}) t(i) join (select row_number() over (order by id) - 1 pos, * from e) on pos = cast(floor({_u(repr(f'{seed}:forgy:'), 'i')} * (select count(*) from e)) as bigint)"
+
+
 _R = "r as (select id, v, count(*) over () total from e)"
 _HISTORY = _q(E_, *_lloyd(_R, K, ROUNDS), select=f"select it, cid, n, {_z('fit')} from l where it > 0", recursive=True)
 _FLAT = f"select cid, cast(unnest(range(0, len(c))) as bigint) j, {_z('unnest(c)', 'x')}"
@@ -423,7 +434,8 @@ ORACLE_SQL = {
     "dump_clusters": _q(E_, C_, D_, A_, select=f"select c.cid, count(a.id) n, {_z('any_value(c.c[1])', 'x0', 2)} from c left join a on m.cid = c.cid group by c.cid"),
     "sort_centroids": _q(E_, C_, select="select row_number() over (order by c desc) - 1 place, cid from c"),
     "permute_centroids": _q(E_, C_, f"p as ({_PERM})", select=f"select dst cid, {_z('c[1]', 'x0')} from c join p on cid = src"),
-    "inverse_permutation": _q(f"p as ({_PERM})", select="select dst src, src dst, src = dst fixed from p"),
+    "inverse_permutation": _q(f"p as ({_PERM})", select="select dst src, src dst, src = dst fixed, (select bool_and(src = dst) from p) as identity from p"),
+    "class_members": "select cast(label as bigint) cls, row_number() over (partition by label order by vec_id) - 1 as at, cast(vec_id as bigint) id from embeddings",
     "init_forgy": _q(E_, P_, f"c as (select cast(i as bigint) cid, v c from range({K}) t(i) join p on pos = cast(floor({_u(repr(f'{SEED}:forgy:'), 'i')} * (select count(*) from e)) as bigint))", select=f"{_FLAT} from c"),
     "init_random": _q(E_, "k as (select *, cast(floor(" + _u(repr(f"{SEED}:rp:"), "id") + f" * {K}) as bigint) cid from e)", "y as (select cid, unnest(v) x, cast(unnest(range(0, len(v))) as bigint) j from k)", select=f"select cid, j, {_z('avg(x)', 'x')} from y group by cid, j"),
     "init_mindist": _q(
@@ -444,16 +456,46 @@ ORACLE_SQL = {
     "lloyd_centroids": _q(E_, *_lloyd(_R, K, ROUNDS), select=f"{_FLAT} from l where it = {ROUNDS}", recursive=True),
     "lloyd_part": _q("r as (select cast(p_partkey as bigint) id, [cast(p_size as double) / 50, cast(p_retailprice as double) / 1000] v from part)", *_lloyd("q as (select 1)", 5, 3), select=f"select it, cid, n, {_z('fit')} from l where it > 0", recursive=True),
     "balanced_kmeans": _q(E_, *_lloyd(_R, K, 6, f" + {LAMBDA} * l.pure / r.total * {K} / 64 * l.n"), select=f"select it, cid, n, {_z('fit')}, {_z('pure')} from l where it > 0", recursive=True),
-    "sampled_kmeans": _q(E_, f"r as (select id, v, count(*) over () total, row_number() over (order by {_u(repr(f'{SEED}:s:1:'), 'id')}, id) rk from e)", *_lloyd("q as (select 1)", K, 1, sample=f"and r.rk <= floor(r.total * {RATE})"), select=f"select it, cid, n, {_z('fit')} from l where it > 0", recursive=True),
-    "lloyd_no_mse": _q(E_, *_lloyd(_R, K, ROUNDS), select=f"{_FLAT} from l where it = {ROUNDS}", recursive=True),
+    "sampled_kmeans": _q(
+        E_, f"""r as (select i it, id, v, count(*) over (partition by i) total, row_number() over (partition by i order by {_u(repr(f'{SEED}:s:'), 'i', repr(':'), 'id')}, id) rk from e, range(1, {ROUNDS + 1}) t(i))""",
+        *_lloyd("q as (select 1)", K, ROUNDS, sample=f"and r.it = l.it + 1 and r.rk <= floor(r.total * {RATE})", start=f"select id cid, v c from e where id < {K}"), select=f"select it, cid, n, {_z('fit')} from l where it > 0", recursive=True),
+    "lloyd_no_mse": _q(E_, *_lloyd(_R, K, 40), select=f"{_FLAT} from l where it = 40", recursive=True),
+    "lloyd_repair": _q(
+        E_, _R, f"s as (select id cid, v c from r where id < {K - 1} union all select {K - 1}, list_transform(v, lambda x: cast(9 as double)) from r where id = 0)",
+        "a as (select r.id, any_value(r.v) v, min(struct_pack(d := list_distance(r.v, s.c), cid := s.cid)).cid cid from r, s group by r.id)",
+        "f as (select cid, list(x order by j) c from (select cid, j, avg(x) x from (select cid, unnest(v) x, unnest(range(0, len(v))) j from a) group by cid, j) group by cid)",
+        *_lloyd("q as (select 1)", K, 2, start="select cid, c from f union all select s.cid, (select v from r order by id limit 1) from s where s.cid not in (select cid from f)"), select=f"{_FLAT} from l where it = 2", recursive=True),
+    "best_of_restarts": _q(
+        E_, *(x for i in range(3) for x in _lloyd(_R if not i else f"q{i} as (select 1)", K, 2, name=f"l{i}", start=_forgy(SEED + i))),
+        select=f"select {_z('min(fit)', 'fit')} from (select fit from l0 union all select fit from l1 union all select fit from l2)", recursive=True),
+    "stochastic_relaxation": _q(
+        E_, X_, S_, *_lloyd(_R, K, ROUNDS, noise=f" + ({_u(repr(f'{SEED}:sr:'), 'it', repr(':'), 'cid', repr(':'), 'j')} - 0.5) * (select list(std order by j) from s)[j + 1] * (1 - it / {ROUNDS}.0) ** 2"),
+        select=f"select it, cid, n, {_z('fit')} from l where it > 0", recursive=True),
     **{name: _HISTORY for name in pruned.KERNELS},
-    "yinyang_groups": f"select cast(i as bigint) cid, ntile(3) over (order by i) - 1 grp from range({K}) t(i)",
+    "yinyang_groups": _q(
+        E_, *_lloyd(f"r as (select id, v, {K} total from e where id < {K})", 3, 5),
+        select="select r.id cid, min(struct_pack(d := list_distance(r.v, l.c), g := l.cid)).g grp from r, l where l.it = 5 group by r.id", recursive=True),
     "random_draws": f"""select o_orderkey id, cast(floor({_u(repr(f'{SEED}:int:'), 'o_orderkey')} * 10) as bigint) i, {_z(_u(repr(f'{SEED}:open:'), 'o_orderkey'), 'u')},
         {_z(f"sqrt(-2 * ln({_u(repr(f'{SEED}:n:r:'), 'o_orderkey')} + 0.5 / 4503599627370496.0)) * cos(2 * pi() * {_u(repr(f'{SEED}:n:a:'), 'o_orderkey')})", 'z')},
         {_z(f"tan(pi() * ({_u(repr(f'{SEED}:c:'), 'o_orderkey')} + 0.5 / 4503599627370496.0 - 0.5))", 'c', 2)} from orders""",
     "move_deltas": _q(
-        E_, *_lloyd(_R, K, 1), "a as (select l.it, r.id, min(struct_pack(d := list_distance(r.v, l.c), cid := l.cid)).cid cid from r, l group by l.it, r.id)",
-        "b as (select o.cid old, n.cid new from a o join a n on o.id = n.id and o.it = 0 and n.it = 1 and o.cid <> n.cid)",
-        select="select cid, cast(sum(n) as bigint) delta from (select old cid, -1 n from b union all select new, 1 from b) group by cid", recursive=True),
+        E_, *_lloyd(_R, K, 1), "a as (select l.it, r.id, any_value(r.v) v, min(struct_pack(d := list_distance(r.v, l.c), cid := l.cid)).cid cid from r, l group by l.it, r.id)",
+        "b as (select o.v, o.cid old, n.cid new from a o join a n on o.id = n.id and o.it = 0 and n.it = 1 and o.cid <> n.cid)",
+        "m as (select old cid, -1 s, v from b union all select new, 1, v from b)",
+        select=f"select cid, j, cast(sum(s) as bigint) delta, {_z('sum(s * x)', 'x')} from (select cid, s, unnest(v) x, cast(unnest(range(0, len(v))) as bigint) j from m) group by cid, j", recursive=True),
+    "init_oror": _q(
+        E_, P_,
+        # a round: rows whose draw falls under their share are candidates; the next lowers the distances to them
+        f"""z as (select cast(-1 as bigint) r, pos, id, v, cast('infinity' as double) d2, pos = cast(floor({_u(repr(f'{SEED}:or:0'))} * (select count(*) from e)) as bigint) hit from p
+        union all select r, pos, id, v, d2, {_u(repr(f'{SEED}:or:'), 'r', repr(':'), 'id')} < {K} * d2 / sum(d2) over () hit from (
+          select a.r + 1 r, a.pos, a.id, a.v, least(a.d2, (select min(list_distance(a.v, b.v) ** 2) from z b where b.hit)) d2 from z a where a.r < 4))""",
+        "c as (select row_number() over (order by r, pos) - 1 j, v from z where hit)",
+        "w as (select j, count(*) w from (select p.id, min(struct_pack(d := list_distance(p.v, c.v), j := c.j)).j j from p, c group by p.id) group by j)",
+        "k as (select c.j, c.v, coalesce(w.w, 0) w, count(*) over () m from c left join w using (j))",
+        f"""y as (select cast(0 as bigint) i, j, v, w, cast('infinity' as double) d2, j = cast(floor({_u(repr(f'{SEED}:orpp:0'))} * m) as bigint) sel from k
+        union all select i, j, v, w, d2, j = min(case when cum >= u * total then j end) over () sel from (
+          select *, sum(w * d2) over (order by j) cum, sum(w * d2) over () total from (
+            select y.i + 1 i, y.j, y.v, y.w, least(y.d2, list_distance(y.v, s.v) ** 2) d2, {_u(repr(f'{SEED}:orpp:'), '(y.i + 1)')} u from y, (select v from y where sel) s where y.i < {K - 1})))""",
+        "f as (select i cid, v c from y where sel)", select=f"{_FLAT} from f", recursive=True),
     "drift": _q(E_, *_lloyd(_R, K, 1), select=f"select a.cid cid, {_z('list_distance(a.c, b.c) ** 2', 'd2')} from l a join l b on a.cid = b.cid and a.it = 0 and b.it = 1", recursive=True),
 }

@@ -1,8 +1,9 @@
 """The compact binary matrix formats: datasets, centroids, classes, permutations and column statistics.
 
 A dataset file is int32 rows, int32 columns and row-major float32 values, little-endian.  ``spark.read.format("fbin")``
-reads it by ranges of rows, one partition each; ``df.write.format("fbin")`` isn't offered, ``save_dataset`` writes in one
-pass.  Files are read with plain file calls: paths must be seen by all executors.
+reads it by ranges of rows, one partition each; ``save_dataset`` writes it, each task its own rows.  These formats are single
+files with places fixed by row number, so they are read and written with plain file calls: paths must be on a file system
+that the driver and all executors share.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import os
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 HEADER = 8
@@ -63,16 +65,48 @@ def read_dataset(spark: SparkSession, path: str, partitions: int = 8) -> DataFra
     return spark.read.format("fbin").option("partitions", partitions).load(path)
 
 
-def save_dataset(df: DataFrame, path: str) -> None:
-    """Writes (pos, v) in the order of pos; rows pass the driver one partition at a time."""
-    n, d = df.count(), None
+def _create(path: str, header: list[int], size: int) -> str:
+    """A file of ``size`` bytes that begins with ``header``; rows are written into it in place."""
+    path = path.removeprefix("file://")
+    os.makedirs(os.path.dirname(path) or ".", 0o755, exist_ok=True)
     with open(path, "wb") as f:
-        f.write(np.array([n, 0], "<i4").tobytes())
-        for row in df.orderBy("pos").select("v").toLocalIterator():
-            d = len(row["v"])
-            f.write(np.array(row["v"], "<f4").tobytes())
-        f.seek(4)
-        f.write(np.array([d or 0], "<i4").tobytes())
+        f.write(np.array(header, "<i4").tobytes())
+        f.truncate(size)
+    return path
+
+
+def _write_rows(df: DataFrame, path: str, offset: int, width: int, values) -> None:
+    """Every task writes its rows (pos, ...) to their places, neighbours together; doing so again changes nothing.
+
+    values: the rows' little-endian bytes of a batch, ``width`` each.
+    """
+
+    def run(batches):
+        with open(path, "r+b") as f:
+            for batch in batches:
+                pos, raw = batch.column(0).to_numpy(), memoryview(values(batch))
+                cut = [0, *(np.flatnonzero(np.diff(pos) != 1) + 1).tolist(), len(pos)]
+                for i, j in zip(cut, cut[1:], strict=False):
+                    if j > i:
+                        f.seek(offset + int(pos[i]) * width)
+                        f.write(raw[i * width : j * width])
+        yield pa.RecordBatch.from_arrays([pa.array([0])], ["done"])
+
+    df.mapInArrow(run, "done long").write.format("noop").mode("overwrite").save()
+
+
+def save_dataset(df: DataFrame, path: str) -> None:
+    """Writes (pos, v), pos counting from 0 without gaps; vectors of several lengths raise ValueError.
+
+    The driver makes the file and the tasks write their rows into it, sorted within each task, so no row passes the driver.
+    """
+    n, low, high = df.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if low != high:
+        raise ValueError("vectors must be of one length")
+    d = high or 0
+    path = _create(path, [n, d], HEADER + 4 * d * n)
+    flat = lambda batch: batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+    _write_rows(df.select("pos", "v").sortWithinPartitions("pos"), path, HEADER, 4 * d, flat)
 
 
 def save_centroids(c: np.ndarray, path: str, double: bool = False) -> None:
@@ -91,10 +125,11 @@ def load_centroids(path: str, k: int | None = None, dim: int | None = None) -> n
 
 
 def save_classes(assigned: DataFrame, path: str) -> None:
-    """Classes count from 1 in the file."""
-    cid = [r["cid"] for r in assigned.orderBy("id").select("cid").toLocalIterator()]
-    with open(path, "wb") as f:
-        f.write(np.array([len(cid)], "<i4").tobytes() + (np.array(cid, "<i4") + 1).tobytes())
+    """Writes the classes of (pos, cid); they count from 1 in the file, which the tasks fill as in ``save_dataset``."""
+    n = assigned.count()
+    path = _create(path, [n], 4 + 4 * n)
+    plus = lambda batch: (batch.column(1).to_numpy().astype("<i4") + 1).astype("<i4").tobytes()
+    _write_rows(assigned.select("pos", "cid").sortWithinPartitions("pos"), path, 4, 4, plus)
 
 
 def load_classes(spark: SparkSession, path: str) -> DataFrame:

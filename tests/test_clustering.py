@@ -9,7 +9,7 @@ from meanfield.plans import queries
 from meanfield.sources import matrix
 
 DIR = "/root/testdata/sf0.001"
-QUICK = ["scan_vectors", "column_stats", "standardize", "row_block_partition", "select_rows", "classify", "top_b_nearest", "annulus_candidates", "cluster_sse", "compute_centers", "init_forgy", "init_mindist", "lloyd_fit_history", "balanced_kmeans", "sampled_kmeans", "move_deltas", "pairwise_sqdist", "random_draws"]
+QUICK = ["scan_vectors", "column_stats", "standardize", "row_block_partition", "select_rows", "classify", "top_b_nearest", "annulus_candidates", "cluster_sse", "compute_centers", "init_forgy", "init_mindist", "lloyd_fit_history", "balanced_kmeans", "sampled_kmeans", "move_deltas", "pairwise_sqdist", "random_draws", "classify_dist", "init_oror", "lloyd_repair", "best_of_restarts", "stochastic_relaxation", "yinyang_groups", "class_members"]
 
 
 def frame(spark, x):
@@ -51,16 +51,40 @@ def naive(x, c, rounds):
 
 
 @pytest.mark.parametrize("name", sorted(pruned.KERNELS))
-@pytest.mark.parametrize("k", [1, 2, 12])
+@pytest.mark.parametrize("k", [1, 12])
 def test_accelerated_equals_naive(spark, name, k):
+    """Each iteration against plain steps; every bound is verified against all distances."""
     x = clouds()
-    df = frame(spark, x)
-    m = kmeans.fit(df, k, id_col="id", features=("v",), algorithm=name, init=x[:k], max_iter=6, groups=3, n_bounds=4)
+    options = {"groups": 3} if name == "yinyang" else {"n_bounds": 4} if name == "drake" else {}
+    m = kmeans.fit(frame(spark, x), k, id_col="id", features=("v",), algorithm=name, init=x[:k], max_iter=4, verify=True, **options)
     want = naive(x, x[:k], len(m.history))
     for h, (fit, counts) in zip(m.history, want, strict=True):
         assert h["fit"] == pytest.approx(fit, rel=1e-9)
         assert h["counts"] == counts
         assert h["dist_count"] <= len(x) * (k + 1)
+    if k > 1:
+        assert m.history[-1]["dist_count"] < len(x) * k
+
+
+@pytest.mark.parametrize("name,options", [("yinyang", {"local_filter": False, "groups": 4}), ("yinyang", {"groups": [0, 0, 0, 1, 1, 1, 2, 2, 2, 2, 0, 1]}), ("yinyang", {"groups": 3, "group_by": "samesize"}), ("yinyang", {"groups": 3, "reorder": True}), ("drake", {"adaptive": True})])
+def test_variants(spark, name, options):
+    x = clouds(200)
+    m = kmeans.fit(frame(spark, x), 12, id_col="id", features=("v",), algorithm=name, init=x[:12], max_iter=5, verify=True, **options)
+    want = naive(x, x[:12], len(m.history))
+    assert [h["fit"] for h in m.history] == pytest.approx([f for f, _ in want])
+    assert [sorted(h["counts"]) for h in m.history] == [sorted(n) for _, n in want]
+    if name == "drake":
+        # a quarter of the centroids twice, then what was needed, and an eighth less one at least
+        assert all(1 <= h["max_active"] <= 3 for h in m.history[1:])
+
+
+def test_centroid_groups():
+    c = clouds(12)
+    for by in ("kmeans", "samesize"):
+        g = pruned.group_centroids(c, 3, by=by)
+        assert set(g) == {0, 1, 2} and (by == "kmeans" or np.bincount(g).tolist() == [4, 4, 4])
+        new, group, perm = pruned.contiguous(c, g)
+        assert (np.diff(group) >= 0).all() and np.array_equal(new[perm], c) and np.array_equal(group[perm], g)
 
 
 def test_stop_rules(spark):
@@ -70,6 +94,10 @@ def test_stop_rules(spark):
     assert run(max_iter=1) == 1
     assert run(min_iter=3, max_iter=1) == 3
     assert run(min_rel=0.99) == 2
+    # the fit rises or stays: only before min_iter that doesn't end it
+    steps = iter([5.0, 4.0, 4.0, 6.0, 3.0, 3.0, 1.0])
+    m = kmeans.run(lambda c, i: (c, {"fit": next(steps)}), x[:2], 0, 5, None)
+    assert [h["fit"] for h in m.history] == [5.0, 4.0, 4.0, 6.0, 3.0, 3.0] and m.fit == 3.0
     m = kmeans.fit(df, 4, id_col="id", features=("v",), init=x[:4])
     fits = [h["fit"] for h in m.history]
     assert all(a > b for a, b in zip(fits[:-2], fits[1:-1], strict=True)) and m.fit == min(fits)
@@ -112,15 +140,76 @@ def test_initializers(spark, make):
     assert c.shape == (6, 3) and np.isfinite(c).all()
 
 
+def test_plus_plus_by_definition(spark):
+    """With weights, against a cumulative sum over all rows."""
+    x, w = clouds(80), np.random.default_rng(2).integers(0, 5, 80).astype(float)
+    df = assign.positions(frame(spark, x)).withColumn("w", F.element_at(F.array(*(F.lit(float(v)) for v in w)), (F.col("pos") + 1).cast("int")))
+    chosen = [int(uniform_value(4, "pp", 0) * 80)]
+    for i in range(1, 5):
+        cum = np.cumsum(w * ((x[:, None] - x[None, chosen]) ** 2).sum(-1).min(1))
+        chosen.append(int(np.searchsorted(cum, uniform_value(4, "pp", i) * cum[-1])))
+    assert np.allclose(init.plus_plus(df, 5, 4), x[chosen])
+
+
+def test_positions(spark):
+    """Every place once, in order, also when no exchange is shared."""
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(300_000).select((F.col("id") * 7 % 300_007).alias("id"), F.array(F.lit(1.0)).alias("v"))
+        out = assign.positions(df)
+        assert out.columns == ["id", "v", "pos"]
+        n, low, high, places = out.agg(F.count("*"), F.min("pos"), F.max("pos"), F.count_distinct("pos")).first()
+        assert (n, low, high, places) == (300_000, 0, 299_999, 300_000)
+        some = out.orderBy("id").limit(2000).select("pos").collect()
+        assert [r["pos"] for r in some] == list(range(2000))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_plus_plus_without_mass(spark):
     assert init.plus_plus(assign.positions(frame(spark, [[2.0]] * 4)), 3, 1).tolist() == [[2.0]] * 3
 
 
+def greedily(d, room):
+    """Same-size assignment by definition: again and again the row that is farthest from its best cluster with room moves in."""
+    n, k = d.shape
+    out, free, best = [-1] * n, [room] * k, d.argmin(1).tolist()
+    left = set(range(n))
+    while left:
+        i = min(left, key=lambda i: (-d[i, best[i]], i))
+        if free[best[i]]:
+            out[i], free[best[i]] = best[i], free[best[i]] - 1
+            left.discard(i)
+        else:
+            best[i] = min((j for j in range(k) if free[j]), key=lambda j: (d[i, j], j))
+    return out
+
+
+def swapped(d, cid):
+    """One round of swaps by definition; who may begin one is settled ahead of it."""
+    n = 0
+    for i in [i for i in range(len(d)) if d[i].min() < d[i, cid[i]]]:
+        for j in range(i + 1, len(d)):
+            if d[i, cid[j]] + d[j, cid[i]] < d[i, cid[i]] + d[j, cid[j]]:
+                cid[i], cid[j], n = cid[j], cid[i], n + 1
+                break
+    return n
+
+
 def test_same_size(spark):
     x = clouds(50)
-    rows = samesize.same_size(frame(spark, x), x[:4], rounds=50).collect()
-    assert max(np.bincount([r["cid"] for r in rows])) <= 13
-    assert np.mean([r["d2"] for r in rows]) <= rows[0]["before"] + 1e-12
+    d = ((x[:, None] - x[None, :4]) ** 2).sum(-1)
+    want = greedily(d, 13)
+    first = sorted((r["id"], r["cid"]) for r in samesize.same_size(frame(spark, x), x[:4]).collect())
+    assert [c for _, c in first] == want
+    c, cid = x[:4].copy(), list(want)
+    for _ in range(50):
+        if not swapped(((x[:, None] - c[None]) ** 2).sum(-1), cid):
+            break
+        c = np.array([x[np.array(cid) == j].mean(0) for j in range(4)])
+    rows = sorted(tuple(r) for r in samesize.same_size(frame(spark, x), x[:4], rounds=50).collect())
+    assert [r[1] for r in rows] == cid and rows[0][3] == pytest.approx(d[np.arange(50), want].mean())
+    assert [r[2] for r in rows] == pytest.approx(((x - c[cid]) ** 2).sum(1).tolist())
 
 
 def test_same_size_from_assignment(spark):
@@ -141,7 +230,7 @@ def test_sample_takes_the_smallest_uniforms(spark, n, rate, bins):
 def test_formats(spark, tmp_path):
     x = clouds(21).astype(np.float32)
     df = frame(spark, x).withColumnRenamed("id", "pos")
-    matrix.save_dataset(df, str(tmp_path / "x.fbin"))
+    matrix.save_dataset(df.repartition(5), str(tmp_path / "x.fbin"))
     back = matrix.read_dataset(spark, str(tmp_path / "x.fbin"), 4).orderBy("pos").collect()
     assert np.array_equal(np.array([r["v"] for r in back], np.float32), x)
     for double in (False, True):
@@ -149,8 +238,13 @@ def test_formats(spark, tmp_path):
         assert np.array_equal(matrix.load_centroids(str(tmp_path / "c"), 3, 3), x[:3].astype(np.float64))
     with pytest.raises(ValueError):
         matrix.load_centroids(str(tmp_path / "c"), 4)
-    matrix.save_classes(assign.classify(frame(spark, x), x[:3].astype(float)), str(tmp_path / "cls"))
-    assert matrix.load_classes(spark, str(tmp_path / "cls")).count() == 21
+    classes = assign.classify(frame(spark, x), x[:3].astype(float)).withColumnRenamed("id", "pos")
+    matrix.save_classes(classes.repartition(3), str(tmp_path / "cls"))
+    assert sorted(map(tuple, matrix.load_classes(spark, str(tmp_path / "cls")).collect())) == sorted((r["pos"], r["cid"]) for r in classes.collect())
+    matrix.save_dataset(df.limit(0), str(tmp_path / "none"))
+    assert matrix.read_dataset(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        matrix.save_dataset(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "pos long, v array<double>"), str(tmp_path / "bad"))
     matrix.save_permutation([2, 0, 1], str(tmp_path / "p"))
     assert [tuple(r) for r in matrix.load_permutation(spark, str(tmp_path / "p")).collect()] == [(0, 2), (1, 0), (2, 1)]
     matrix.save_stats(np.ones((4, 3)), str(tmp_path / "s"))
@@ -166,3 +260,40 @@ def test_stream(spark, tmp_path):
     q = score_stream(stream, x[:3], str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_command_line(spark, tmp_path):
+    from meanfield.__main__ import main
+    from meanfield.operators import report
+
+    x = clouds(60).astype(np.float32)
+    path = str(tmp_path / "x.fbin")
+    matrix.save_dataset(frame(spark, x).withColumnRenamed("id", "pos"), path)
+    lines = []
+    out = tmp_path / "out"
+    first = str(tmp_path / "first")
+    matrix.save_centroids(x[:4], first)
+    matrix.save_permutation([1, 0, 2, 3], str(tmp_path / "perm"))
+    m = main([path, "-c", "4", "-a", "yinyang", "-G", "2", "-t", first, "-I", "3", "-s", str(out), "-o", str(tmp_path / "run"), "-b", "1", "-v", "5", "-p", str(tmp_path / "perm")], spark, report.Output(lines.append))
+    want = naive(x.astype(float), x[:4].astype(float), len(m.history))
+    assert [h["fit"] for h in m.history] == pytest.approx([f for f, _ in want])
+    assert np.array_equal(matrix.load_centroids(str(out / "centroids.fbin"), 4, 3), m.centroids)
+    cid = ((x[:, None] - m.centroids[None]) ** 2).sum(-1).argmin(1)
+    assert [r["cls"] for r in matrix.load_classes(spark, str(out / "classes.cls")).orderBy("pos").collect()] == cid.tolist()
+    for i in range(len(m.history) + 1):
+        assert matrix.load_centroids(f"{tmp_path}/run_{i}.cnt", 4, 3).shape == (4, 3) and matrix.load_classes(spark, f"{tmp_path}/run_{i}.cls").count() == 60
+    assert any("reductions" in x for x in lines) and any("on average" in x for x in lines)
+    with pytest.raises(ValueError):
+        main([path, "-c", "5", "-t", first], spark, report.Output(None))
+
+
+def test_reports(spark):
+    from meanfield.operators import report
+
+    x = clouds(30)
+    df = frame(spark, x)
+    assert report.info_lines(df.withColumnRenamed("id", "pos"), 2)[0] == "30 rows, 3 columns" and len(report.info_lines(df.withColumnRenamed("id", "pos"), 2)) == 3
+    assert report.assigned_lines(x[:3], samesize.same_size(df, x[:3]))[1].endswith(":10 objects")
+    assert report.timed_total(df)[0] == pytest.approx(x.sum())
+    assert len(report.reducer_seconds(spark, 3, 2, 4, 2)) == 2
+    assert assign.is_identity(spark.createDataFrame([(0, 0), (1, 1)], "src int, dst int")) and not assign.is_identity(spark.createDataFrame([(0, 1), (1, 0)], "src int, dst int"))
