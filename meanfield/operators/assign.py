@@ -125,14 +125,15 @@ def permute(centroids: DataFrame, perm: DataFrame) -> DataFrame:
     return centroids.join(perm, centroids["cid"] == perm["src"]).select(F.col("dst").alias("cid"), "c")
 
 
-def positions(df: DataFrame) -> DataFrame:
-    """Adds pos, the place from 0 in the order of id (rows of one id in any order).
+def positions(df: DataFrame, *order) -> DataFrame:
+    """Adds pos, the place from 0 in the order of id, or of the columns ``order`` (equal rows in any order).
 
     Ranges of ids are sorted and written once with each row's place in its range; their totals, one row for each range, are
     counted from the written table, so both come from the same ranges.
     """
     place = F.monotonically_increasing_id()
-    part = stored(df.repartitionByRange("id").sortWithinPartitions("id").select(F.struct("*").alias("row"), place.alias("at")), "positions")
+    order = order or ("id",)
+    part = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct("*").alias("row"), place.alias("at")), "positions")
     range_ = F.shiftright("at", 33).alias("range")
     totals = part.groupBy(range_).agg(F.count("*").alias("n"))
     before = totals.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))

@@ -1,7 +1,9 @@
 """Same-size clusters: capacity-bound greedy assignment and pairwise swaps.
 
-The greedy heap and the swaps are defined one after another over all rows, so this operator runs in one task and takes
-at most ``MAX_ROWS`` rows; a larger input raises ValueError.
+The greedy assignment is one pass over all rows in order of their distance, each to its nearest cluster with room.  Between
+two clusters becoming full that is a plain nearest-cluster pass, so K rounds over the data give it at any size; up to
+``MAX_ROWS`` rows it runs in one task.  Swaps depend on all swaps before them: they run in one task and take at most
+``MAX_ROWS`` rows; a larger input raises ValueError.
 """
 
 from __future__ import annotations
@@ -13,7 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meanfield.functions.vectors import matrix
+
+from .assign import positions
+
 MAX_ROWS = 100_000
+#: Rows whose wishes are counted together; the driver sees K numbers for each.
+BLOCK = 65_536
 
 
 def greedy(d: np.ndarray) -> np.ndarray:
@@ -65,6 +73,72 @@ def assigned(x: np.ndarray, c: np.ndarray, rounds: int, cid: np.ndarray | None =
     return cid, d[np.arange(len(x)), cid], before
 
 
+def _squares(batch, c):
+    x = matrix(batch)
+    return np.stack([((x - row) ** 2).sum(1) for row in c], 1)
+
+
+def by_rounds(df: DataFrame, c: np.ndarray) -> DataFrame:
+    """What ``same_size`` returns without swaps, at any size.
+
+    Rows are numbered by (distance to their nearest centroid, farthest first; id).  While no cluster becomes full, each goes
+    to the nearest of those with room; the counts of blocks of rows tell in which block the next becomes full, and that
+    block's rows at which row.  So each of at most K rounds counts blocks and reads one; a last pass assigns all rows.
+    """
+    k = len(c)
+
+    def nearest(batches):
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_squares(batch, c).min(1))], ["id", "v", "d2"])
+
+    ranked = positions(df.select("id", "v").mapInArrow(nearest, "id long, v array<double>, d2 double"), F.desc("d2"), "id").select("id", "v", "pos")
+    n = ranked.count()
+    room, start, spans = np.full(k, -(-n // k)), 0, []
+    while start < n:
+        free = room > 0
+
+        def wishes(batches, free=free):
+            for batch in batches:
+                if len(batch):
+                    want = np.where(free, _squares(batch, c), np.inf).argmin(1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(want)], ["pos", "cid"])
+
+        wished = ranked.where(F.col("pos") >= start).mapInArrow(wishes, "pos long, cid int")
+        full = n
+        blocks = wished.groupBy(F.floor(F.col("pos") / BLOCK).alias("b"), "cid").agg(F.count("*").alias("n")).orderBy("b").collect()
+        taken = np.zeros(k, np.int64)
+        for b in sorted({r["b"] for r in blocks}):
+            here = np.zeros(k, np.int64)
+            for r in blocks:
+                if r["b"] == b:
+                    here[r["cid"]] = r["n"]
+            if ((taken + here >= room) & free).any():
+                rows = wished.where((F.col("pos") >= b * BLOCK) & (F.col("pos") < (b + 1) * BLOCK)).orderBy("pos").collect()
+                for r in rows:
+                    taken[r["cid"]] += 1
+                    if taken[r["cid"]] == room[r["cid"]]:
+                        full = r["pos"] + 1
+                        break
+                break
+            taken += here
+        spans.append((full, free))
+        room, start = room - taken, full
+
+    ends = np.array([e for e, _ in spans])
+    open_ = np.array([f for _, f in spans]).reshape(-1, k)
+
+    def last(batches):
+        for batch in batches:
+            if len(batch):
+                d = _squares(batch, c)
+                cid = np.where(open_[np.searchsorted(ends, batch.column(2).to_numpy(), "right")], d, np.inf).argmin(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cid.astype(np.int32)), pa.array(d[np.arange(len(d)), cid])], ["id", "cid", "d2"])
+
+    out = ranked.mapInArrow(last, "id long, cid int, d2 double")
+    return out.join(F.broadcast(out.agg(F.avg("d2").alias("before"))))  # one row
+
+
 def same_size(df: DataFrame, c: np.ndarray, rounds: int = 0, given: str | None = None) -> DataFrame:
     """(id, cid, d2, before): same-size assignment of ``df`` (id, v); with rounds, swaps and new means until none helps.
 
@@ -72,6 +146,8 @@ def same_size(df: DataFrame, c: np.ndarray, rounds: int = 0, given: str | None =
     each row's cluster, from which the swaps start instead of the greedy assignment; they keep its sizes.
     """
     if df.limit(MAX_ROWS + 1).count() > MAX_ROWS:
+        if given is None and not rounds:
+            return by_rounds(df, c)
         raise ValueError(f"same-size clustering takes at most {MAX_ROWS} rows")
 
     def run(table):

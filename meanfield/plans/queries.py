@@ -313,7 +313,7 @@ def drift(spark, d):
 
 
 def samesize_assignment(spark, d):
-    return samesize.same_size(_e(spark, d), _first(spark, d))
+    return samesize.same_size(_e(spark, d), _first(spark, d)).select("id", F.col("cid").cast("long").alias("cid"), _r("d2").alias("d2"), _r("before").alias("before"))
 
 
 def samesize_iterative(spark, d):
@@ -478,6 +478,14 @@ ORACLE_SQL = {
     "random_draws": f"""select o_orderkey id, cast(floor({_u(repr(f'{SEED}:int:'), 'o_orderkey')} * 10) as bigint) i, {_z(_u(repr(f'{SEED}:open:'), 'o_orderkey'), 'u')},
         {_z(f"sqrt(-2 * ln({_u(repr(f'{SEED}:n:r:'), 'o_orderkey')} + 0.5 / 4503599627370496.0)) * cos(2 * pi() * {_u(repr(f'{SEED}:n:a:'), 'o_orderkey')})", 'z')},
         {_z(f"tan(pi() * ({_u(repr(f'{SEED}:c:'), 'o_orderkey')} + 0.5 / 4503599627370496.0 - 0.5))", 'c', 2)} from orders""",
+    "samesize_assignment": _q(
+        E_, C_, "o as (select e.id, list(list_distance(e.v, c.c) ** 2 order by c.cid) ds from e, c group by e.id)",
+        "q as (select row_number() over (order by list_min(ds) desc, id) - 1 r, * from o)",
+        # a row of the recursion is a row's choice among the clusters with room
+        f"""z as (select cast(-1 as bigint) r, cast(null as bigint) id, cast(null as bigint) cid, cast(null as double) d2, (select list((n + {K - 1}) // {K}) from (select count(*) n from e), range({K})) room
+        union all select r, id, cid, ds[cid + 1], list_transform(range(0, {K}), lambda j: room[j + 1] - case when j = cid then 1 else 0 end) from (
+          select q.r, q.id, q.ds, z.room, cast(list_min(list_transform(range(0, {K}), lambda j: struct_pack(d := case when z.room[j + 1] > 0 then q.ds[j + 1] else 1e300 end, j := j))).j as bigint) cid from z join q on q.r = z.r + 1))""",
+        select=f"select id, cid, {_z('d2')}, {_z('avg(d2) over ()', 'before')} from z where r >= 0", recursive=True),
     "move_deltas": _q(
         E_, *_lloyd(_R, K, 1), "a as (select l.it, r.id, any_value(r.v) v, min(struct_pack(d := list_distance(r.v, l.c), cid := l.cid)).cid cid from r, l group by l.it, r.id)",
         "b as (select o.v, o.cid old, n.cid new from a o join a n on o.id = n.id and o.it = 0 and n.it = 1 and o.cid <> n.cid)",

@@ -212,6 +212,20 @@ def test_same_size(spark):
     assert [r[2] for r in rows] == pytest.approx(((x - c[cid]) ** 2).sum(1).tolist())
 
 
+@pytest.mark.parametrize("n,k,block", [(50, 4, 7), (41, 5, 64), (30, 1, 8)])
+def test_same_size_by_rounds(spark, monkeypatch, n, k, block):
+    """The rounds over a table too large for one task, against one task."""
+    monkeypatch.setattr(samesize, "BLOCK", block)
+    x = clouds(n)
+    x[: n // 4] = x[0]
+    one = sorted(map(tuple, samesize.same_size(frame(spark, x), x[-k:]).collect()))
+    monkeypatch.setattr(samesize, "MAX_ROWS", 10)
+    out = sorted(map(tuple, samesize.same_size(frame(spark, x), x[-k:]).collect()))
+    assert [r[:3] for r in out] == [r[:3] for r in one] and out[0][3] == pytest.approx(one[0][3])
+    with pytest.raises(ValueError):
+        samesize.same_size(frame(spark, x), x[:k], rounds=1)
+
+
 def test_same_size_from_assignment(spark):
     x = clouds(40)
     df = frame(spark, x).withColumn("at", F.col("id") % 4)
