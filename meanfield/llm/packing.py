@@ -121,7 +121,8 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.j
     schema = f"{PIECE}, sequence_id long, offset long, gap long, surplus long, bins long"
 
     def run(rows: DataFrame, n: int, k: int) -> DataFrame:
-        g = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(parts(n, group))) + F.lit(k << 32)
+        # rows are of a written table, so a row keeps its number; by it repeated rows are spread like any others
+        g = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(k)), F.lit(parts(n, group))) + F.lit(k << 32)
         return stored(rows.select(*pieces.columns, g.alias("g")).groupBy("g").applyInArrow(_pack_group(capacity), schema), "pack-round")
 
     done, packed = [], run(rest, rest.count(), 0)

@@ -57,6 +57,15 @@ def test_bounds(sizes):
     assert len(groups) == n and sorted(k for g in groups for k in g) == list(range(len(sizes)))
 
 
+def test_repeated_rows_are_packed_in_groups(spark):
+    """Copies of one row are dealt over groups like other rows."""
+    out = packing.pack(docs(spark, [(1, "a b c", "s")] * 500), group=50).collect()
+    fill = Counter()
+    for r in out:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(out) == 500 and max(fill.values()) <= 1024 and len(fill) <= 10
+
+
 def test_exchange_saves_sequences(spark):
     rows = [(i, "a " * n, "s") for i, n in enumerate([600, 400] * 40)]
     whole = packing.pack(docs(spark, rows)).select("sequence_id").distinct().count()
@@ -617,6 +626,46 @@ def test_line_stage_keeps_what_is_left(spark):
     assert got == {1: shared, 2: "its own line", 4: "", 5: None}
 
 
+@pytest.mark.parametrize("rows", [[], EDGES])
+def test_pipeline_of_edges(spark, tmp_path, rows):
+    """Nulls, empty, long, equal and repeated texts through every stage; extra columns whose names clash pass through."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, epoch string, row string, kept string"
+    spark.createDataFrame([(i, t, "en", s, 0, "e", "r", "k") for i, t, s in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, 0), (None, 0, 1), (3, None, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs_ = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_ = stage(spark, docs_, str(tmp_path))
+        assert docs_.schema.names == schema.replace(",", "").split()[::2], name
+        path = str(tmp_path / name)
+        docs_.write.parquet(path)
+        docs_ = spark.read.parquet(path)
+        left.append(Counter(r["doc_id"] for r in docs_.collect()))
+    if not rows:
+        assert left == [Counter()] * 4 and corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+        return
+    assert left[0] == Counter(i for i, _, _ in rows)
+    # documents 4 and null hold the same line as 3, which stays with all its copies; of these one stays in the next stage
+    assert left[1] == Counter([1, 2, 3, 3, 5, 6, 7, 8]) and left[2] == Counter([1, 2, 3, 5, 6, 7, 8])
+    assert set(left[3]) == set(left[2]) and max(left[3].values()) <= 2
+    out = corpus_pipeline.pack(spark, docs_, str(tmp_path)).collect()
+    tokens = {i: len(ids_of(t)) for i, t, _ in rows}
+    assert Counter(r["doc_id"] for r in out for _ in range(r["length"])) == Counter({i: n * tokens[i] for i, n in left[3].items()})
+
+
+def test_mixture_is_written_in_order(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"text {i}", "en", f"s{i % 2}", 6) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [r["doc_id"] for r in mixing.mix(df, max_repeat=1.25, budget="cover", block_rows=1024).orderBy("mix_key").collect()]
+    got = [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, df, "").collect()]
+    source = {i: s for i, _, _, s, _ in rows}
+    assert Counter(got) == Counter(want) and [source[i] for i in got] == [source[i] for i in want]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
