@@ -52,15 +52,15 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jpath, True)
 
 
-def maybe_broadcast(df: DataFrame, items: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks ``df`` for broadcast if it has at most ``limit`` rows; otherwise the join shuffles.
+def maybe_broadcast(df: DataFrame, items: str | None = None) -> DataFrame:
+    """Marks ``df`` for broadcast if it has at most ``BROADCAST_ROWS`` rows; otherwise the join shuffles.
 
     items: a list column of ``df``, whose lists may hold at most ``BROADCAST_ITEMS`` elements together.
     """
     from pyspark.sql import functions as F
 
     n, held = df.agg(F.count("*"), F.sum(F.size(items)) if items else F.lit(0)).first()
-    return F.broadcast(df) if n <= limit and (held or 0) <= BROADCAST_ITEMS else df
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (held or 0) <= BROADCAST_ITEMS else df
 
 
 def _release() -> None:

@@ -446,6 +446,23 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("largest", [-1, 3])
+def test_without_broadcasts(spark, monkeypatch, largest):
+    """The joins that shuffle give what the broadcast ones give."""
+    from meanfield.llm import _common
+
+    rows = [(i, t + f"\nline {i % 5}\nall of them have this one", f"s{i % 2}") for i, t, _ in corpus()] + EDGES[:5]
+    run = [
+        lambda df: line_dedup.dedup_lines(df).select("doc_id", "removed", "text"),
+        lambda df: minhash_dedup.near_duplicates(df, shingle=2, percent=60),
+        lambda df: minhash_dedup.keep_one(df, shingle=2, percent=60).select("doc_id", "text"),
+        lambda df: mixing.mix(df, tokens=words(), block_rows=8).select("doc_id", "epoch", "mix_key"),
+    ]
+    want = [Counter(str(r) for r in f(docs(spark, rows)).collect()) for f in run]
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", largest)
+    assert [Counter(str(r) for r in f(docs(spark, rows)).collect()) for f in run] == want
+
+
 def test_line_columns_and_nulls(spark):
     names = ["row", "th", "left", "gone", "id", "more", "_id", "_th", "_d", "_t", "_gone", "_new"]
     rows = [(None, "one line of text\nof its own", "s"), (4, "one line of text", "s"), (3, "x\none line of text", "s"), (3, "x\none line of text", "s")]
