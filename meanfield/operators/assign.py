@@ -112,7 +112,28 @@ def balance(assigned: DataFrame, k: int) -> DataFrame:
 
 def centers(df: DataFrame, labels: DataFrame) -> DataFrame:
     """(cls, j, x): means of the classes of ``labels`` (id, cls)."""
-    return df.join(labels, "id").select("cls", F.posexplode("v").alias("j", "x")).groupBy("cls", "j").agg(F.avg("x").alias("x"))
+    return means(df.join(labels, "id").select("cls", "v"))
+
+
+def means(df: DataFrame) -> DataFrame:
+    """(cls, j, x): means of the vectors of each class of ``df`` (cls, v).  A task sends one row for each class."""
+
+    def sums(batches):
+        total: dict = {}
+        for batch in batches:
+            if len(batch):
+                cls, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                x = matrix(batch)
+                s = np.zeros((len(cls), x.shape[1]))
+                np.add.at(s, at, x)
+                for c, row, n in zip(cls.tolist(), s, np.bincount(at).tolist(), strict=True):
+                    old, m = total.get(c, (0.0, 0))
+                    total[c] = old + row, m + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([s for s, _ in total.values()], pa.list_(pa.float64())), pa.array([n for _, n in total.values()], pa.int64())], ["cls", "s", "n"])
+
+    rows = df.select(F.col("cls").cast("long").alias("cls"), "v").mapInArrow(sums, "cls long, s array<double>, n long")
+    x = rows.select("cls", "n", F.posexplode("s").alias("j", "x"))
+    return x.groupBy("cls", "j").agg((F.sum("x") / F.sum("n")).alias("x"))
 
 
 def quantize(assigned: DataFrame, centroids: DataFrame) -> DataFrame:

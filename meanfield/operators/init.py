@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meanfield.functions.storage import discard, stored
 from meanfield.functions.vectors import distances, matrix, uniform, uniform_value
 
-from .assign import take_rows
+from .assign import means, take_rows
 
 BLOCK = 65_536
 
@@ -30,11 +30,10 @@ def forgy(df: DataFrame, k: int, seed: int = 0) -> np.ndarray:
 
 def random_partition(df: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     """Means of a random partition; a class that got no row takes the first row."""
-    x = df.select(F.floor(uniform(seed, "rp", "id") * k).cast("int").alias("cid"), F.posexplode("v").alias("j", "x"))
-    rows = x.groupBy("cid", "j").agg(F.avg("x").alias("x")).collect()
+    rows = means(df.select(F.floor(uniform(seed, "rp", "id") * k).alias("cls"), "v")).collect()
     out = np.tile(take_rows(df, [0]), (k, 1))
     for r in rows:
-        out[r["cid"], r["j"]] = r["x"]
+        out[r["cls"], r["j"]] = r["x"]
     return out
 
 
@@ -43,7 +42,7 @@ def min_dist(df: DataFrame, k: int, trials: int, seed: int = 0) -> np.ndarray:
     n = df.count()
     picks = [[int(uniform_value(seed, "md", i, t) * n) for t in range(trials)] for i in range(k)]
     rows = take_rows(df, [p for r in picks for p in r]).reshape(k, trials, -1)
-    mean = np.array([r["x"] for r in df.select(F.posexplode("v").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("x")).orderBy("j").collect()])
+    mean = np.array([r["x"] for r in means(df.select(F.lit(0).alias("cls"), "v")).orderBy("j").collect()])
     chosen = [rows[0][int(((rows[0] - mean) ** 2).sum(1).argmin())]]
     for i in range(1, k):
         chosen.append(rows[i][int(distances(rows[i], np.array(chosen)).min(1).argmax())])
