@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ._common import binary_rows, discard, list_column, maybe_broadcast, spans, stored, text_buffer, tidy
 from ._links import link_components
-from ._text import _SPACE, band_keys, char_shingles, minhash, odd_sketch, permutations, xor_limit
+from ._text import _SPACE, band_keys, char_shingles, minhash, odd_sketch, permutations, rising, xor_limit
 
 CHUNK = 2 << 20
 LINE = "doc_id long, th long, line_no int, id long, more long, bands array<long>, sketch binary"
@@ -102,7 +102,7 @@ def _line_sets(size: int):
         ends = np.cumsum([len(x) for x in lines], dtype=np.int64)
         starts = ends - np.array([len(x) for x in lines], np.int64)
         h, offs = char_shingles(np.frombuffer(b"".join(lines), np.uint8), starts, ends, size)
-        return [np.unique(h[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        return [rising(h[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
 
     return expand
 
