@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import parts, text_buffer, tidy
-from ._text import _BASE, _BYTE, _LOWER, U64, mix64, word_hashes
+from ._text import _BASE, _BYTE, _LOWER, U64, mix64, rising, word_hashes
 
 #: Bytes of text and documents of a batch on average, at most.
 BATCH_BYTES, BATCH_DOCS = 12 << 20, 1 << 18
@@ -85,7 +85,7 @@ def _grams(symbols: np.ndarray, lengths: np.ndarray, order: int):
 
 def _distinct(k: int, order: int, ends: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The rising hashes of the grams of order k that a batch asks for."""
-    return np.unique(ends) if k == order else np.union1d(ends, before)
+    return rising(ends) if k == order else rising(np.concatenate([rising(ends), rising(before)]))
 
 
 def _counted(values: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -158,7 +158,7 @@ def _explode(order: int, unit: str, count: int):
 def _total(key, table):
     """Rows (batch, p, n, m) of a hash range with the counts over all batches, in each batch's order."""
     asked = [np.cumsum(_unpack(x.as_buffer(), np.uint64), dtype=np.uint64) for x in table["h"]]
-    values = np.unique(np.concatenate(asked))
+    values = rising(np.concatenate(asked))
     asked = [np.searchsorted(values, x) for x in asked]
     cols = []
     for name in ("n", "m"):
