@@ -59,7 +59,7 @@ def encode_png(image: np.ndarray, filters: tuple[int, ...] = (0, 1, 2), level: i
 
 def decode_png(media: bytes) -> np.ndarray:
     """The (height, width) uint8 array of an 8-bit greyscale PNG; every chunk's checksum is tested."""
-    if media[:8] != SIGNATURE:
+    if media is None or media[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, data, head, ended = 8, [], None, False
     while at < len(media):
@@ -151,7 +151,11 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def read_features(media: DataFrame) -> DataFrame:
-    """FEATURES of a table MEDIA: decodes every value with its checksums tested and hashes what was read back."""
+    """FEATURES of a table MEDIA: decodes every value with its checksums tested and hashes what was read back.
+
+    A value that isn't a whole PNG with right checksums raises ValueError, null too; null doc_ids pass through; equal
+    values give equal features; repeated rows are kept; extra columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches):
         for batch in batches:

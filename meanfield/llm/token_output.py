@@ -118,7 +118,10 @@ def packed_rows(docs: DataFrame, seq_len: int = 2048, tokenizer: str = "byte_bpe
 
 
 def write_packed(docs: DataFrame, path: str, **params) -> DataFrame:
-    """Writes ``packed_rows`` as a Parquet table of binary id rows and returns the table as read back."""
+    """Writes ``packed_rows`` as a Parquet table of binary id rows and returns the table as read back.
+
+    The cases are those of ``packed_rows``; an empty table is written as a table without rows; a path that exists is an error.
+    """
     packed_rows(docs, **params).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
