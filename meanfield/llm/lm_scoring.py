@@ -211,7 +211,7 @@ def score(docs: DataFrame, order: int = 5, min_count: int = 2, backoff: float =
     once; these add the counts up and answer every batch in its order, without hashes.  Scores are summed per document.
 
     Cases: null and empty texts have no symbols, log_prob 0 and null mean_log_prob and perplexity; repeated rows score
-    alike; null doc_ids pass through; a very long text is scored whole; extra columns are ignored; an empty table gives
+    alike and meet in one batch; null doc_ids pass through; a very long text is scored whole; extra columns are ignored; an empty table gives
     an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
