@@ -323,7 +323,7 @@ def samesize_iterative(spark, d):
 def samesize_from_assignment(spark, d):
     """Swaps from a dealt assignment of equal sizes."""
     e = assign.positions(_e(spark, d)).withColumn("cid", F.col("pos") % K)
-    return samesize.same_size(e, _first(spark, d), rounds=100, given="cid")
+    return samesize.balanced(e, _first(spark, d), rounds=100, given="cid")
 
 
 def random_draws(spark, d):
