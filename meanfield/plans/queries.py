@@ -317,7 +317,7 @@ def samesize_assignment(spark, d):
 
 
 def samesize_iterative(spark, d):
-    return samesize.same_size(_e(spark, d), _fit(spark, d, max_iter=3).centroids, rounds=100)
+    return samesize.balanced(_e(spark, d), _fit(spark, d, max_iter=3).centroids, rounds=100)
 
 
 def samesize_from_assignment(spark, d):
