@@ -129,7 +129,7 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 1, shingle: int = 9, percent:
     docs = docs.drop("n_lines", "removed", "share")
     # the row as it came is one column, so that names in it can't clash with those below
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), F.col("text").cast("string").alias("text")]
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), *key)
     slim = docs.select(*key)
     lines = stored(slim.mapInArrow(tidy(_line_rows(min_bytes, shingle, bands, rows, bits)), LINE), "line-sig")
     classes = stored(lines.groupBy("id", "more").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"), F.count("*").alias("n")), "line-class")
@@ -161,9 +161,13 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 1, shingle: int = 9, percent:
         discard(table)
 
     out = whole.join(maybe_broadcast(gone, items="gone"), ["doc_id", "th"], "left")
-    split = F.split("text", "\n", -1)
-    rest = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    kept = F.array_join(F.transform(rest, lambda i: F.get(split, i)), "\n")
+
+    def rest(lines):
+        at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n")
+
+    # the text is split once, as the variable of a function: an expression within another's would be run for each line
+    kept = F.get(F.transform(F.array(F.split("text", "\n", -1)), rest), F.lit(0))
     size = F.octet_length("text")
     out = out.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(size - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)

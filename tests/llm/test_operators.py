@@ -700,3 +700,18 @@ def test_pipeline(spark, tmp_path):
     near = classes(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
     assert got == {i for i in near if near[i] == i}
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_a_long_document_is_split_once(spark):
+    """Lines are taken from one split text: in time with the text, not with its square."""
+    import time
+
+    from meanfield.llm import line_dedup
+
+    n = 30_000
+    lines = [f"{i // 2:07d}" for i in range(n)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.time()
+    (row,) = line_dedup.dedup_lines(docs).collect()
+    assert row["text"].split("\n") == lines[::2] and row["removed"] == list(range(1, n, 2)) and row["n_lines"] == n
+    assert time.time() - began < 45
