@@ -30,14 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/meanfield/{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it: cuts the lineage.
 
     A plain table survives lost executors; nothing is kept in executor memory.
+    hashes: the columns hold hardly any value twice, so the writer doesn't try dictionaries.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._meanfield_path = path
     return out

@@ -9,16 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, maybe_broadcast, parts, stored, tidy
+from ._common import discard, maybe_broadcast, parts, spans, stored, tidy
 from ._graph import components
 from ._text import mix64
 
-FAR = np.int64(1 << 40)
+FAR = 1 << 40
 EDGE = "a long, b long"
 #: Ids whose band keys one task deals with.
 PART_IDS = 200_000
 #: Share of all ids from which a key's entries are spread over tasks before they are grouped.
 HOT_SHARE = 1e-4
+#: Bytes of stored sets that are expanded at once.
+RUN = 1 << 20
 #: Tasks that write a small table, and rows that one of more tasks writes.
 TASKS, PART_ROWS = 8, 50_000
 
@@ -78,11 +80,18 @@ def _shared(hot: np.ndarray):
 
     def out(chunks):
         e = np.frombuffer(b"".join(chunks), np.int64).reshape(-1, 2)
+        # most keys have one entry: these go before the entries are sorted by id, too
+        order = np.argsort(e[:, 0])
+        key = e[order, 0]
+        several, same = _is_in(key, hot), key[1:] == key[:-1]
+        several[1:] |= same
+        several[:-1] |= same
+        e = e[order[several]]
         e = e[np.lexsort((e[:, 1], e[:, 0]))]
         new = np.ones(len(e), bool)
         new[1:] = (e[1:] != e[:-1]).any(axis=1)
         e = e[new]
-        start = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]]))
+        start = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]])[: len(e)])
         m = np.diff(np.concatenate([start, [len(e)]]))
         keep = np.repeat((m > 1) | _is_in(e[start, 0], hot), m)
         return pa.RecordBatch.from_arrays([pa.array(e[keep, 0]), pa.array(e[keep, 1]), pa.array(np.repeat(m, m)[keep])], ["key", "id", "m"])
@@ -138,6 +147,17 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _forest(d: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a minimum spanning forest; entries of FAR or more are no edges."""
     m, edges = len(d), []
+    if m <= 16:
+        d, left, near, to = d.tolist(), list(range(m)), [FAR] * m, [0] * m
+        for _ in range(m):
+            j = min(left, key=near.__getitem__)
+            if near[j] < FAR:
+                edges.append((to[j], j))
+            left.remove(j)
+            for k, x in enumerate(d[j]):
+                if x < near[k]:
+                    near[k], to[k] = x, j
+        return edges
     free = np.ones(m, bool)
     best, via = np.full(m, FAR), np.zeros(m, np.int64)
     for _ in range(m):
@@ -209,18 +229,31 @@ def hash_runs(values: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in values]
 
 
+def _similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether sets 0 and 1, 2 and 3, ..., as rising hashes, have 100 * intersection >= percent * union."""
+    n = np.array([len(s) for s in sets], np.int64)
+    n = n[::2] + n[1::2]
+    at = np.concatenate([[0], np.cumsum(n)])
+    flat = np.concatenate(sets)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        flat[a:b].sort()
+    twice = np.zeros(len(flat), bool)
+    twice[1:] = flat[1:] == flat[:-1]
+    twice[at[:-1][n > 0]] = False
+    both = np.diff(np.concatenate([[0], np.cumsum(twice)])[at])
+    return 100 * both >= percent * (n - both)
+
+
 def _confirm(percent: int, expand):
     """Exact check of pairs of sets."""
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for s, t in zip(expand(batch.column(2).to_pylist()), expand(batch.column(3).to_pylist()), strict=True):
-                if len(s) > len(t):
-                    s, t = t, s
-                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(t) else 0
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            s, t = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = np.zeros(len(s), bool)
+            for i, j in spans(np.cumsum([0, *(len(x) + len(y) for x, y in zip(s, t, strict=True))]), RUN):
+                ok[i:j] = _similar(expand([x for pair in zip(s[i:j], t[i:j], strict=True) for x in pair]), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["a", "b", "ok"])
 
     return run
 
@@ -237,8 +270,9 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
     out = np.zeros((n, n), np.float32)
-    width = 8192
-    for lo in range(0, int(shared.sum()), width):
+    total = int(shared.sum())
+    width = min(8192, total)
+    for lo in range(0, total, 8192):
         i, j = np.searchsorted(col, [lo, lo + width])
         dense = np.zeros((n, width), np.float32)
         dense[owner[i:j], col[i:j] - lo] = 1
@@ -254,21 +288,43 @@ def _block_links(percent: int, expand):
             ids, comp = table["id"].to_numpy(), table["c"].to_numpy()
             raw = table["s"].to_pylist()
             cut = _cuts(table)
+            lo, hi = np.array([0, *cut]), np.array([*cut, len(ids)])
+            root: dict[int, int] = {}
+
+            def find(x, root=root):
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
             a, b = [], []
-            for s, e in zip([0, *cut], [*cut, len(ids)], strict=True):
-                sets = expand(raw[s:e])
-                both = _common(sets).astype(np.int64)
-                size = np.array([len(x) for x in sets])
-                hit = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-                i, j = np.nonzero(np.triu(hit, 1) & (comp[s:e][:, None] != comp[s:e][None, :]))
-                root: dict[int, int] = {}
-
-                def find(x, root=root):
-                    while root.setdefault(x, x) != x:
-                        root[x] = x = root[root[x]]
-                    return x
-
-                for x, y in zip((i + s).tolist(), (j + s).tolist(), strict=True):
+            held = np.cumsum([0, *map(len, raw)])
+            for u, v in spans(held[np.append(lo, len(ids))], RUN):
+                # an id stands in several blocks, but its set is made once
+                base = lo[u]
+                _, first, place = np.unique(ids[base : hi[v - 1]], return_index=True, return_inverse=True)
+                made = expand([raw[k] for k in (base + first).tolist()])
+                two = lo[u:v][hi[u:v] - lo[u:v] == 2]
+                two = two[comp[two] != comp[two + 1]]
+                some, hits = [np.stack([two, two + 1])], []
+                for s, e in zip(lo[u:v].tolist(), hi[u:v].tolist(), strict=True):
+                    if e - s < 3:
+                        continue
+                    i, j = np.nonzero(comp[s:e, None] != comp[None, s:e])
+                    i, j = i[i < j], j[i < j]
+                    if len(i) <= 2 * (e - s):
+                        some.append(np.stack([i, j]) + s)
+                        continue
+                    sets = [made[k] for k in place[s - base : e - base].tolist()]
+                    size = np.array([len(x) for x in sets])
+                    both = _common(sets).astype(np.int64)[i, j]
+                    hit = 100 * both >= percent * (size[i] + size[j] - both)
+                    hits.append(np.stack([i[hit], j[hit]]) + s)
+                pairs = np.concatenate(some, axis=1)
+                size = np.array([len(x) for x in made])[place]
+                for s, e in spans(np.concatenate([[0], np.cumsum(size[pairs - base].sum(axis=0))]), RUN):
+                    part = pairs[:, s:e]
+                    hits.append(part[:, _similar([made[k] for k in place[part.T.ravel() - base].tolist()], percent)])
+                for x, y in np.concatenate(hits, axis=1).T.tolist() if hits else []:
                     p, q = find(comp[x]), find(comp[y])
                     if p != q:
                         root[max(p, q)] = min(p, q)

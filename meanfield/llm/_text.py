@@ -18,9 +18,23 @@ _powers: list[np.ndarray] = []
 
 def mix64(h: np.ndarray) -> np.ndarray:
     """A finalizer with full avalanche on 64-bit values."""
-    h = (h ^ (h >> U64(33))) * U64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> U64(33))) * U64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> U64(33))
+    h = h ^ (h >> U64(33))
+    h *= U64(0xFF51AFD7ED558CCD)
+    h ^= h >> U64(33)
+    h *= U64(0xC4CEB9FE1A85EC53)
+    h ^= h >> U64(33)
+    return h
+
+
+def _mix_in(h: np.ndarray, spare: np.ndarray) -> None:
+    """``mix64`` in place; ``spare`` is at least as long."""
+    t = spare[: len(h)]
+    for mult in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        np.right_shift(h, U64(33), out=t)
+        h ^= t
+        h *= U64(mult)
+    np.right_shift(h, U64(33), out=t)
+    h ^= t
 
 
 def rising(h: np.ndarray) -> np.ndarray:
@@ -94,20 +108,40 @@ def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size:
     n = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
     out_offs = np.concatenate([[0], np.cumsum(n)])
     out = np.empty(int(out_offs[-1]), np.uint64)
-    i, step = 0, 1 << 18
+    whole = bool((counts >= size).all())
+    i, step = 0, 1 << 15
+    spare = np.empty((2, 0), np.uint64)  # every step works in the same memory
     while i < len(starts):
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, lo + step, "right")))
         hi = int(ends[j - 1])
         p, q = _power(hi - lo + 1)
-        acc = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * p[: hi - lo], out=acc[1:])
-        total = int(out_offs[j] - out_offs[i])
-        first = np.arange(total) + np.repeat(starts[i:j] - lo - (out_offs[i:j] - out_offs[i]), n[i:j])
-        last = first + np.repeat(np.minimum(counts[i:j], size), n[i:j])
-        out[out_offs[i] : out_offs[j]] = (acc[last] - acc[first]) * q[first]
+        if spare.shape[1] < hi - lo + 1:
+            spare = np.empty((2, max(step, hi - lo) + 1), np.uint64)
+        acc, h = spare[0, : hi - lo + 1], spare[1, : hi - lo]
+        np.take(_BYTE, data[lo:hi], mode="clip", out=h)
+        h *= p[: hi - lo]
+        acc[0] = 0
+        np.cumsum(h, out=acc[1:])
+        if whole:  # every run of the step, of which those stay that lie in a line
+            h = h[: hi - lo - size + 1]
+            np.subtract(acc[size:], acc[:-size], out=h)
+            h *= q[: len(h)]
+            if j > i + 1:
+                edge = np.zeros(len(h) + 1, np.int8)
+                edge[starts[i:j] - lo] += 1
+                edge[ends[i:j] - size + 1 - lo] -= 1
+                h = h[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+        else:
+            total = int(out_offs[j] - out_offs[i])
+            first = np.arange(total) + np.repeat(starts[i:j] - lo - (out_offs[i:j] - out_offs[i]), n[i:j])
+            last = first + np.repeat(np.minimum(counts[i:j], size), n[i:j])
+            h = (acc[last] - acc[first]) * q[first]
+        found = out[out_offs[i] : out_offs[j]]
+        found[:] = h
+        _mix_in(found, spare[0] if len(found) <= spare.shape[1] else np.empty_like(found))
         i = j
-    return mix64(out), out_offs
+    return out, out_offs
 
 
 def permutations(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +166,12 @@ def minhash(h: np.ndarray, offsets: np.ndarray, mult: np.ndarray, add: np.ndarra
         part = h32[starts[i] : ends[j - 1]]
         at = starts[i:j] - starts[i]
         rows = full[i:j]
-        v = np.empty_like(part)
+        v, least = np.empty_like(part), np.empty((k, j - i), np.uint32)
         for p in range(k):
             np.multiply(part, mult[p], out=v)
             np.add(v, add[p], out=v)
-            out[rows, p] = np.minimum.reduceat(v, at)
+            np.minimum.reduceat(v, at, out=least[p])
+        out[rows] = least.T
         i = j
     return out
 
@@ -169,8 +204,13 @@ def xor_limit(k: int, bits: int, similarity: float, sigmas: float = 5.0) -> int:
 
 def unique_sets(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct hashes in rising order, flat, and how many each has."""
-    out = [rising(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array([len(x) for x in out], np.int64)
+    h = h.copy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[offsets[:-1][np.diff(offsets) > 0]] = True
+    return h[new], np.diff(np.concatenate([[0], np.cumsum(new)])[offsets])
 
 
 def set_prints(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import binary_rows, discard, list_column, maybe_broadcast, spans, stored, text_buffer, tidy
 from ._links import link_components
-from ._text import _SPACE, band_keys, char_shingles, minhash, odd_sketch, permutations, rising, xor_limit
+from ._text import _SPACE, band_keys, char_shingles, minhash, odd_sketch, permutations, unique_sets, xor_limit
 
 CHUNK = 2 << 20
+#: White space on one side of a line that is taken away byte by byte.
+SPACES = 8
 LINE = "doc_id long, th long, line_no int, id long, more long, bands array<long>, sketch binary"
 #: Place of a null doc_id in the order of documents: last.
 LAST = 2**63 - 1
@@ -30,6 +33,21 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
 
 def _trimmed(data, starts, ends):
     """Starts and ends without white space on either side; a blank line ends where it starts."""
+    lo, hi = starts.copy(), ends.copy()
+    for at, step, before in ((lo, 1, 0), (hi, -1, 1)):
+        todo = np.flatnonzero(hi > lo)
+        for _ in range(SPACES + 1):
+            todo = todo[_SPACE[data[at[todo] - before]]]
+            at[todo] += step
+            todo = todo[hi[todo] > lo[todo]]
+        if len(todo):
+            return _trimmed_far(data, starts, ends)
+    full = hi > lo
+    return np.where(full, lo, starts), np.where(full, hi, starts)
+
+
+def _trimmed_far(data, starts, ends):
+    """The same for any amount of white space."""
     inside = np.flatnonzero(~_SPACE[data])
     lo, hi = np.searchsorted(inside, starts), np.searchsorted(inside, ends)
     full, inside = hi > lo, np.append(inside, 0)
@@ -83,16 +101,16 @@ def _wanted(batches):
     for batch in batches:
         data, offs = text_buffer(batch.column(0))
         want = batch.column(1)
-        ids, out = [], []
-        for r in range(len(batch)):
-            part = data[offs[r] : offs[r + 1]]
-            cut = np.flatnonzero(part == 10)
-            los, his = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(part)]])
-            for x in want[r].as_py():
-                ids.append(x["id"])
-                out.append(part[los[x["line_no"]] : his[x["line_no"]]].tobytes().strip(b" \t\n\r\v\f"))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "s"])
+        number, ids = want.flatten().flatten()
+        row = np.repeat(np.arange(len(batch)), pc.list_value_length(want).to_numpy())
+        cut = np.append(np.flatnonzero(data == 10), len(data))
+        first = np.searchsorted(cut, offs[row])  # the line feed after the text's first line, if it has one
+        at = first + number.to_numpy()
+        starts = np.where(at > first, cut[np.maximum(at - 1, 0)] + 1, offs[row]).tolist()
+        ends = np.minimum(cut[at], offs[row + 1]).tolist()
+        if len(ids):
+            out = [data[a:b].tobytes().strip(b" \t\n\r\v\f") for a, b in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(out, pa.binary())], ["id", "s"])
 
 
 def _line_sets(size: int):
@@ -101,8 +119,9 @@ def _line_sets(size: int):
     def expand(lines: list[bytes]) -> list[np.ndarray]:
         ends = np.cumsum([len(x) for x in lines], dtype=np.int64)
         starts = ends - np.array([len(x) for x in lines], np.int64)
-        h, offs = char_shingles(np.frombuffer(b"".join(lines), np.uint8), starts, ends, size)
-        return [rising(h[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        flat, n = unique_sets(*char_shingles(np.frombuffer(b"".join(lines), np.uint8), starts, ends, size))
+        last = np.cumsum(n)
+        return [flat[a:b] for a, b in zip((last - n).tolist(), last.tolist(), strict=True)]
 
     return expand
 
@@ -131,17 +150,20 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 1, shingle: int = 9, percent:
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), F.col("text").cast("string").alias("text")]
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), *key)
     slim = docs.select(*key)
-    lines = stored(slim.mapInArrow(tidy(_line_rows(min_bytes, shingle, bands, rows, bits)), LINE), "line-sig")
-    classes = stored(lines.groupBy("id", "more").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"), F.count("*").alias("n")), "line-class")
-    tables = [lines, classes]
-    clash = stored(classes.groupBy("id").agg(F.min("more").alias("least"), F.count("*").alias("k")).where("k > 1").select("id", "least"), "line-clash")
-    if not clash.isEmpty():
+    lines = stored(slim.mapInArrow(tidy(_line_rows(min_bytes, shingle, bands, rows, bits)), LINE), "line-sig", hashes=True)
 
-        def apart(df: DataFrame) -> DataFrame:
-            df = df.join(maybe_broadcast(clash), "id", "left")
-            return df.withColumn("id", F.when(F.col("more") == F.col("least"), F.col("id")).otherwise(F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("more")))).drop("least")
+    def classed() -> DataFrame:
+        at = F.min(F.struct("doc_id", "th", "line_no")).alias("at")
+        return stored(lines.groupBy("id").agg(at, F.count("*").alias("n"), F.min("more").alias("least"), F.max("more").alias("most")), "line-class", hashes=True)
 
-        lines, classes = apart(lines), apart(classes)
+    classes = classed()
+    tables = [lines, classes]
+    clash = classes.where("least <> most").select("id", "least")
+    if not clash.isEmpty():
+        other = F.col("more") != F.col("least")  # null where no line clashes
+        lines = lines.join(maybe_broadcast(clash), "id", "left").withColumn("id", F.when(other, F.col("more")).otherwise(F.col("id"))).drop("least")
+        classes = classed()
+        tables.append(classes)
     sigs = lines.where(F.size("bands") > 0).select("id", "bands", "sketch")
 
     def fetch(ids: DataFrame) -> DataFrame:

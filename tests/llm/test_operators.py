@@ -710,3 +710,36 @@ def test_a_document_is_split_once(spark):
     assert plan.count("array_join(") == plan.count("split(") > 0
     (row,) = out.collect()
     assert row["text"].split("\n") == lines[::2] and row["removed"] == list(range(1, 200, 2)) and row["n_lines"] == 200
+
+
+def test_link_work_is_done_once(monkeypatch):
+    """Only entries of shared keys are sorted by id, and a line in several blocks has its set made once."""
+    import pyarrow as pa
+
+    from meanfield.llm import _links
+
+    sorts, made, lexsort = [], [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(len(keys[0])) or lexsort(keys))
+    entries = [(k, k + 1) for k in range(1000)] + [(5000, 2), (5000, 1), (5000, 2), (6000, 3), (6000, 3)]
+    batch = pa.RecordBatch.from_pydict({"p": pa.array([0], pa.int32()), "x": [np.array(entries, np.int64).tobytes()]})
+    (out,) = _links._shared(np.zeros(0, np.int64))(iter([batch]))
+    assert out.to_pydict() == {"key": [5000, 5000], "id": [1, 2], "m": [2, 2]} and sorts == [5]
+
+    def expand(raw):
+        made.extend(raw)
+        return _links.hash_runs(raw)
+
+    s = {i: np.arange(lo, lo + 20, dtype=np.uint64).tobytes() for i, lo in ((1, 0), (2, 1), (3, 100))}
+    rows = [(7, 1), (7, 2), (7, 3), (8, 1), (8, 2), (9, 1), (9, 3)]  # the last key comes in a table of its own
+    batch = pa.RecordBatch.from_pydict({"key": [k for k, _ in rows], "sub": [0] * 7, "id": [i for _, i in rows], "c": [i for _, i in rows], "s": [s[i] for _, i in rows]})
+    (out,) = _links._block_links(85, expand)(iter([batch]))
+    assert out.to_pydict() == {"a": [1], "b": [2]} and len(made) == 3 + 2
+
+
+def test_lines_are_trimmed():
+    texts = [b"a b", b"  a ", b" " * 50 + b"x" + b"\t" * 50, b" " * 40, b"", b"\r\v\fz"]
+    for use in (texts, texts[:2] + texts[4:]):  # far and near
+        ends = np.cumsum([len(x) for x in use])
+        data = b"".join(use)
+        lo, hi = line_dedup._trimmed(np.frombuffer(data, np.uint8), ends - [len(x) for x in use], ends)
+        assert [data[a:b] for a, b in zip(lo, hi, strict=True)] == [x.strip(b" \t\n\r\v\f") for x in use]
