@@ -370,8 +370,10 @@ def _linked(sigs, limit, percent, fetch, expand, block, keep) -> DataFrame:
     rows = sigs.count()
     hot = _hot_keys(sigs, rows)
     count = max(int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(rows, PART_IDS))
-    shared = sigs.select("id", "bands").mapInArrow(tidy(_deal(count, hot)), "p int, x binary").repartition(count, "p").sortWithinPartitions("p")
-    shared = keep(shared.mapInArrow(tidy(_shared(hot)), "key long, id long, m long"), "links-shared")
+    # one part at a time: hashed, several would meet in a partition, whose rows may reach Python in one batch
+    dealt = sigs.select("id", "bands").mapInArrow(tidy(_deal(count, hot)), "p int, x binary").repartitionById(count, "p").sortWithinPartitions("p")
+    shared = dealt.mapInArrow(tidy(_shared(hot)), "key long, id long, m long").coalesce(max(TASKS, parts(rows, PART_IDS)))
+    shared = keep(shared, "links-shared")
     few = lambda df, n: df.coalesce(max(TASKS, parts(n, PART_ROWS)))
     if len(hot):
         wide = shared.sparkSession.createDataFrame([(int(k),) for k in hot], "key long")
@@ -380,7 +382,7 @@ def _linked(sigs, limit, percent, fetch, expand, block, keep) -> DataFrame:
     n = shared.count()
     if not n:
         return components(shared.select(F.col("key").alias("a"), F.col("id").alias("b")))
-    one = sigs.select("id", "bands", "sketch").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    one = sigs.select("id", "bands", "sketch").join(maybe_broadcast(shared.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"])
     one = keep(few(one, n), "links-sketch")
     cand = keep(few(shared.join(one.select("id", "sketch"), "id"), n), "links-cand")
     dealt = cand.withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)).cast("int")).select("key", "sub", "id", "sketch")

@@ -743,3 +743,28 @@ def test_lines_are_trimmed():
         data = b"".join(use)
         lo, hi = line_dedup._trimmed(np.frombuffer(data, np.uint8), ends - [len(x) for x in use], ends)
         assert [data[a:b] for a, b in zip(lo, hi, strict=True)] == [x.strip(b" \t\n\r\v\f") for x in use]
+
+
+def test_a_task_gets_one_part(spark, monkeypatch):
+    """No task takes rows of several parts at once, and the ids of shared keys go to the sketches, so that these needn't move."""
+    from meanfield.llm import _links
+
+    shared, stored, plans = _links._shared, _links.stored, {}
+
+    def one_part(hot):
+        def run(batches):
+            batches = list(batches)
+            assert len({p for b in batches for p in b.column(0).to_pylist()}) <= 1
+            yield from shared(hot)(iter(batches))
+
+        return run
+
+    def noted(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, name, *rest)
+
+    monkeypatch.setattr(_links, "_shared", one_part)
+    monkeypatch.setattr(_links, "stored", noted)
+    rows = [(i, f"{TEXT} {i // 2}\n{TEXT[::-1]} {i // 3}", "s") for i in range(40)]
+    assert [r["removed"] for r in line_dedup.dedup_lines(docs(spark, rows)).where("doc_id > 0").select("removed").distinct().collect()] == [[0, 1]]
+    assert "strategy=broadcast" in plans["links-sketch"]
